@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamloom.functions.polygon import in_polygon_array
-from beamloom.operators.ordering import Ordered, floor_to, plan_slices
+from beamloom.operators.ordering import Ordered, SlicePlan, floor_to, plan_slices
+from beamloom.session import cut
 
 
 def with_cabling(hits: DataFrame, cabling: DataFrame) -> DataFrame:
@@ -60,11 +61,11 @@ def time_to_reference(hits: DataFrame, ref_slot: int, width: int, bins: int) ->
     return out.unionByName(own).groupBy("slot", "bin").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def rf_triggers(hits: DataFrame, rf_slot: int, period: float) -> DataFrame:
+def rf_triggers(hits: DataFrame, rf_slot: int, period: float, plan: SlicePlan | None = None) -> DataFrame:
     """One reference trigger per cycle (nearer than half a period to the trigger before: left out), with the
     local period to the next trigger."""
     rf = hits.filter(F.col("slot") == rf_slot).select("run", "ts_ps", "pos")
-    plan = plan_slices(rf)
+    plan = plan or plan_slices(rf)
     once = Ordered(rf, plan).prev_time("_p").done().filter(F.col("_p").isNull() | (F.col("ts_ps") - F.col("_p") > period / 2))
     nxt = Ordered(once.drop("_p"), plan).next_first(F.col("ts_ps"), "t_next").done()
     d = F.col("t_next") - F.col("ts_ps")
@@ -77,7 +78,9 @@ def rf_phase(hits: DataFrame, rf_slot: int, period: float) -> DataFrame:
     Before the first and after the last trigger of a run the nearest pair is used; NULL with fewer than two.
     Triggers and hits are put in one order, and the newest trigger is carried along it.
     """
-    trig = rf_triggers(hits, rf_slot, period).select("run", "ts_ps", "t_next")
+    plan = plan_slices(hits)
+    # read three times below: written once
+    trig = cut(rf_triggers(hits, rf_slot, period, plan).select("run", "ts_ps", "t_next"), "triggers")
     ends = trig.filter(F.col("t_next").isNotNull()).groupBy("run").agg(
         F.min("ts_ps").alias("_f0"), F.min("t_next").alias("_f1"), F.max("ts_ps").alias("_l0"), F.max("t_next").alias("_l1")
     )
@@ -85,7 +88,6 @@ def rf_phase(hits: DataFrame, rf_slot: int, period: float) -> DataFrame:
     # a trigger sorts ahead of hits at its own time
     marks = trig.select("run", "ts_ps", F.lit(-1).cast("long").alias("pos"), F.col("ts_ps").alias("_mark"))
     both = rest.unionByName(marks, allowMissingColumns=True)
-    plan = plan_slices(both)
     o = Ordered(both, plan).running_last(F.col("_mark"), "_at")
     o.next_first(F.col("_mark"), "_nx")
     x = o.done().filter(F.col("_mark").isNull()).drop("_mark").join(ends, "run", "left")

@@ -143,51 +143,51 @@ class Ordered:
     def prev_time(self, name: str = "prev_ts") -> "Ordered":
         """Time of the row before, per key."""
         p = self.plan
-        tails = self._base.groupBy(*p.cols).agg(F.max(p.ts).alias("_last"))
-        self._carry(tails, "_pc", F.lag("_last").over(p.over_slices()))
-        self.df = self.df.withColumn(name, F.coalesce(F.lag(p.ts).over(p.window(*self.more)), F.col("_pc"))).drop("_pc")
+        tails = self._base.groupBy(*p.cols).agg(F.max(p.ts).alias("__last"))
+        self._carry(tails, "__carry", F.lag("__last").over(p.over_slices()))
+        self.df = self.df.withColumn(name, F.coalesce(F.lag(p.ts).over(p.window(*self.more)), F.col("__carry"))).drop("__carry")
         return self
 
     def running_last(self, mark: Column, name: str) -> "Ordered":
         """Newest non-null LONG ``mark`` up to and with this row. ``mark`` must not fall along the order."""
         p = self.plan
-        self.df = self.df.withColumn("_m", mark)
-        ends = self.df.groupBy(*p.cols).agg(F.max("_m").alias("_e"))
-        self._carry(ends, "_ec", F.last("_e", True).over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
-        inside = F.last("_m", True).over(p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0))
-        self.df = self.df.withColumn(name, F.coalesce(inside, F.col("_ec"))).drop("_m", "_ec")
+        self.df = self.df.withColumn("__mark", mark)
+        ends = self.df.groupBy(*p.cols).agg(F.max("__mark").alias("__end"))
+        self._carry(ends, "__carry", F.last("__end", True).over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
+        inside = F.last("__mark", True).over(p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0))
+        self.df = self.df.withColumn(name, F.coalesce(inside, F.col("__carry"))).drop("__mark", "__carry")
         return self
 
     def running_sum(self, value: Column, name: str) -> "Ordered":
         """Sum of ``value`` up to and with this row."""
         p = self.plan
-        self.df = self.df.withColumn("_v", value)
-        sums = self.df.groupBy(*p.cols).agg(F.sum("_v").alias("_s"))
-        self._carry(sums, "_sc", F.sum("_s").over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
-        inside = F.sum("_v").over(p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0))
-        self.df = self.df.withColumn(name, inside + F.coalesce(F.col("_sc"), F.lit(0))).drop("_v", "_sc")
+        self.df = self.df.withColumn("__value", value)
+        sums = self.df.groupBy(*p.cols).agg(F.sum("__value").alias("__sum"))
+        self._carry(sums, "__carry", F.sum("__sum").over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
+        inside = F.sum("__value").over(p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0))
+        self.df = self.df.withColumn(name, inside + F.coalesce(F.col("__carry"), F.lit(0))).drop("__value", "__carry")
         return self
 
     def next_first(self, mark: Column, name: str) -> "Ordered":
         """Next non-null LONG ``mark`` strictly after this row. ``mark`` must not fall along the order."""
         p = self.plan
-        self.df = self.df.withColumn("_m", mark)
-        heads = self.df.groupBy(*p.cols).agg(F.min("_m").alias("_h"))
+        self.df = self.df.withColumn("__mark", mark)
+        heads = self.df.groupBy(*p.cols).agg(F.min("__mark").alias("__head"))
         back = Window.unboundedPreceding, -1  # running frames over the reversed order; a forward frame would rescan
         over = Window.partitionBy(*p.keys).orderBy(F.desc(SLICE), F.desc(TIE)).rowsBetween(*back)
-        self._carry(heads, "_hc", F.last("_h", True).over(over))
+        self._carry(heads, "__carry", F.last("__head", True).over(over))
         rev = Window.partitionBy(*p.cols).orderBy(*[F.desc(c) for c in p.order(*self.more)]).rowsBetween(*back)
-        inside = F.last("_m", True).over(rev)
-        self.df = self.df.withColumn(name, F.coalesce(inside, F.col("_hc"))).drop("_m", "_hc")
+        inside = F.last("__mark", True).over(rev)
+        self.df = self.df.withColumn(name, F.coalesce(inside, F.col("__carry"))).drop("__mark", "__carry")
         return self
 
     def ordinal(self, name: str = "ord") -> "Ordered":
         """0-based place in the whole order, per key."""
         p = self.plan
-        counts = self._base.groupBy(*p.cols).agg(F.count(F.lit(1)).alias("_n"))
-        self._carry(counts, "_nc", F.sum("_n").over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
+        counts = self._base.groupBy(*p.cols).agg(F.count(F.lit(1)).alias("__count"))
+        self._carry(counts, "__carry", F.sum("__count").over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
         rn = F.row_number().over(p.window(*self.more)).cast("long")
-        self.df = self.df.withColumn(name, rn - 1 + F.coalesce(F.col("_nc"), F.lit(0))).drop("_nc")
+        self.df = self.df.withColumn(name, rn - 1 + F.coalesce(F.col("__carry"), F.lit(0))).drop("__carry")
         return self
 
     def done(self) -> DataFrame:

@@ -201,11 +201,11 @@ def register_differences(spark, sf):
 
 @C.query(
     "written_rate",
-    """WITH x AS (SELECT o_custkey AS k, o_orderkey AS t, CAST(o_totalprice AS BIGINT) AS bytes FROM orders)
+    """WITH x AS (SELECT o_custkey AS k, o_orderkey AS t, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders)
     SELECT k, t, CASE WHEN bytes - lag(bytes) OVER w >= 0 THEN round((bytes - lag(bytes) OVER w) / (t - lag(t) OVER w), 6) END AS rate FROM x WINDOW w AS (PARTITION BY k ORDER BY t)""",
 )
 def written_rate(spark, sf):
-    x = read(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("t"), F.round("o_totalprice", 0).cast("long").alias("bytes"))
+    x = read(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("t"), F.floor("o_totalprice").alias("bytes"))
     return Q.written_rate(x, "k").select("k", "t", F.round("rate", 6).alias("rate"))
 
 
@@ -245,14 +245,14 @@ def _frame(lo: int, hi: int) -> str:
 
 @C.query(
     "moving_changes",
-    f"""WITH {READINGS_SQL} SELECT input, t, value, round(avg(value) {_frame(0, 4_000_000)} - avg(value) {_frame(10_000_000, 14_000_000)}, 6) AS change_10s,
-    round(avg(value) {_frame(0, 12_000_000)} - avg(value) {_frame(60_000_000, 72_000_000)}, 6) AS change_1m,
-    round(avg(value) {_frame(0, 60_000_000)} - avg(value) {_frame(600_000_000, 660_000_000)}, 6) AS change_10m FROM r""",
+    f"""WITH {READINGS_SQL} SELECT input, t, value, round(avg(value) {_frame(0, 4_000_000)} - avg(value) {_frame(10_000_000, 14_000_000)}, 8) AS change_10s,
+    round(avg(value) {_frame(0, 12_000_000)} - avg(value) {_frame(60_000_000, 72_000_000)}, 8) AS change_1m,
+    round(avg(value) {_frame(0, 60_000_000)} - avg(value) {_frame(600_000_000, 660_000_000)}, 8) AS change_10m FROM r""",
 )
 def moving_changes(spark, sf):
     # the stream is sparse: one "second" of the rule is a thousand seconds here
     c = L.changes(readings(spark, sf), unit=1_000_000)
-    return c.withColumns({f"change_{n}": F.round(f"change_{n}", 6) for n, _, _ in L.INTERVALS})
+    return c.withColumns({f"change_{n}": F.round(f"change_{n}", 8) for n, _, _ in L.INTERVALS})
 
 
 @C.query(
@@ -262,12 +262,12 @@ def moving_changes(spark, sf):
       avg(value) OVER (PARTITION BY input ORDER BY t RANGE BETWEEN CURRENT ROW AND 60000000 FOLLOWING) AS ahead FROM v),
     f AS (SELECT *, min(t) OVER (PARTITION BY input ORDER BY t RANGE BETWEEN 660000000 PRECEDING AND CURRENT ROW) AS t0 FROM m),
     j AS (SELECT f.*, p.ahead AS past FROM f JOIN (SELECT DISTINCT input, t, ahead FROM m) p ON p.input = f.input AND p.t = f.t0)
-    SELECT input, t, CASE WHEN t - 60000000 - t0 > 0 THEN round(recent - past, 6) END AS change,
+    SELECT input, t, CASE WHEN t - 60000000 - t0 > 0 THEN round(recent - past, 8) END AS change,
       CASE WHEN t - 60000000 - t0 > 0 THEN least((t - 60000000 - t0) / 1e6, 600) ELSE 0 END AS span_s FROM j""",
 )
 def change_over(spark, sf):
     c = L.change_over(readings(spark, sf), 600, unit=1_000_000)
-    return c.select("input", "t", F.round("change", 6).alias("change"), "span_s")
+    return c.select("input", "t", F.round("change", 8).alias("change"), "span_s")
 
 
 RULES = [("r1", "click", "above", 300.0, "notice"), ("r2", "click", "at_or_above", 600.0, "warn"), ("r3", "error", "below", 3.0, "bad"), ("r4", "view", "above", 900.0, "critical"), ("r5", "signup", "above", 1.0, "notice")]

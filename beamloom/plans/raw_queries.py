@@ -1,0 +1,100 @@
+"""The raw reader over the whole hit stream: hits are packed into raw files by Spark, then read back."""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from beamloom.operators import quality as Q
+from beamloom.operators.ordering import SLICE, plan_slices
+from beamloom.plans.adapters import HITS_SQL, as_hits
+from beamloom.plans.catalogue import Catalogue
+from beamloom.session import scratch_dir
+from beamloom.sources import raw
+
+C = Catalogue()
+HITS_PER_AGGREGATE = 256
+TICK_NS = 2
+
+
+def pack(couple: np.ndarray, words: np.ndarray, board: int, counter: int) -> np.ndarray:
+    """One board aggregate of the pulse-shape layout from event words (n x 3: time, extras, charge)."""
+    blocks, mask = [], 0
+    for c in np.unique(couple):
+        ev = words[couple == c].ravel()
+        mask |= 1 << int(c)
+        blocks += [np.array([1 << 31 | (ev.size + 2), 0b0111 << 28 | 2 << 24], np.uint32), ev.astype(np.uint32)]
+    body = np.concatenate(blocks)
+    return np.concatenate([np.array([0xA << 28 | (body.size + 4), board << 27 | mask, counter & 0x7FFFFF, 0], np.uint32), body])
+
+
+def raw_files(spark, sf) -> str:
+    """Writes the hits as raw files, one per (run, board, time slice), in parallel; returns the folder."""
+    out = scratch_dir(spark, "raw")
+    hits = as_hits(spark, sf)
+    t0 = hits.agg(F.min("ts_ps")).first()[0]
+    hits = hits.withColumn("t", F.col("ts_ps") - t0).select("run", "serial", "board", "ch", "t", "qlong", "qshort", "pur", "flags", "pos")
+    plan = plan_slices(hits, ("run", "serial"), "t")
+    width = plan.width
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "pos"])
+        t, ch = pdf["t"].to_numpy(np.int64), pdf["ch"].to_numpy(np.int64)
+        words = np.stack(
+            [
+                (ch & 1) << 31 | (t & 0x7FFFFFFF),
+                (t >> 31) << 16 | pdf["flags"].to_numpy(np.int64) << 10 | (pdf["pos"].to_numpy(np.int64) & 0x3FF),
+                pdf["qlong"].to_numpy(np.int64) << 16 | pdf["pur"].to_numpy(np.int64) << 15 | pdf["qshort"].to_numpy(np.int64),
+            ],
+            axis=1,
+        )
+        k = int(pdf[SLICE].iloc[0]) // width
+        row = pdf.iloc[0]
+        first = k << 12
+        parts = [pack((ch // 2)[i : i + HITS_PER_AGGREGATE], words[i : i + HITS_PER_AGGREGATE], int(row["board"]), first + i // HITS_PER_AGGREGATE) for i in range(0, len(pdf), HITS_PER_AGGREGATE)]
+        name = f"data_{int(row['run']):05d}_{int(row['serial'])}_PSD_{TICK_NS}_{k:03d}.raw"
+        os.makedirs(out, exist_ok=True)
+        tmp = os.path.join(out, f".{name}.{os.urandom(4).hex()}")
+        np.concatenate(parts).astype("<u4").tofile(tmp)
+        os.replace(tmp, os.path.join(out, name))
+        return pd.DataFrame({"name": [name], "n": [len(pdf)]})
+
+    plan.assign(hits).groupBy("run", "serial", SLICE).applyInPandas(write, "name string, n long").agg(F.sum("n")).collect()
+    return out
+
+
+RAW_SQL = f"""{HITS_SQL}, z AS (SELECT min(ts_ps) AS z FROM hits),
+raw AS (SELECT run, serial, ch, (ts_ps - z) * 2000 + ((pos & 1023) * 2000) // 1024 AS ts_ps, qlong, qshort, pur, flags FROM hits, z)"""
+
+
+@C.query("raw_hits", f"WITH {RAW_SQL} SELECT * FROM raw")
+def raw_hits(spark, sf):
+    raw.register(spark)
+    h = spark.read.format("rawhits").load(raw_files(spark, sf))
+    return h.select("run", "serial", "ch", "ts_ps", "qlong", "qshort", "pur", "flags")
+
+
+@C.query("raw_time_range", f"WITH {RAW_SQL}, e AS (SELECT max(ts_ps) AS m FROM raw) SELECT serial, ch, count(*) AS n, CAST(sum(qlong) AS BIGINT) AS q FROM raw, e WHERE ts_ps >= m // 3 AND ts_ps < m // 2 GROUP BY ALL")
+def raw_time_range(spark, sf):
+    index = raw.read_index(spark, raw_files(spark, sf))
+    top = index.agg(F.max("t_last")).first()[0]
+    h = raw.read_hits(index, top // 3, top // 2)
+    return h.groupBy("serial", "ch").agg(F.count(F.lit(1)).alias("n"), F.sum("qlong").alias("q"))
+
+
+@C.query("raw_index", f"WITH {RAW_SQL} SELECT run, serial, count(*) AS hits, min(ts_ps) AS t_first, max(ts_ps) AS t_last, 0 AS other, 0 AS damaged_words, 0 AS tail_words FROM raw GROUP BY run, serial")
+def raw_index(spark, sf):
+    m = raw.index_metrics(raw.read_index(spark, raw_files(spark, sf)))
+    return m.groupBy("run", "serial").agg(
+        F.sum("hits").alias("hits"), F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"),
+        F.sum("other").cast("int").alias("other"), F.sum("damaged_words").cast("int").alias("damaged_words"), F.sum("tail_words").cast("int").alias("tail_words"),
+    )
+
+
+@C.query("raw_gaps")
+def raw_gaps(spark, sf):
+    order = raw.file_order(raw.read_index(spark, raw_files(spark, sf)))
+    return Q.gap_totals(Q.counter_gaps(order, ("run", "serial")), ["run", "serial"])

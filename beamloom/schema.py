@@ -42,6 +42,8 @@ AGGS = T.StructType(
         T.StructField("t_first", T.LongType()),
         T.StructField("t_last", T.LongType()),
         T.StructField("words", T.LongType()),
+        T.StructField("fmt", T.LongType()),
+        T.StructField("agg_pos", T.LongType()),
     ]
 )
 
