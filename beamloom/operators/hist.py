@@ -54,9 +54,10 @@ def rebin(spec: DataFrame, edges: list[int], key: str = "slot", value: str = "ql
 
 def edge_table(df: DataFrame, edges: list[int], value: str) -> DataFrame:
     """(value, bin) for every charge a digitizer can give: at most 65,536 rows, so safe to broadcast."""
-    v = np.arange(max(edges[0], 0), min(edges[-1], 65536))
-    pdf = pd.DataFrame({value: v.astype(np.int32), "bin": (np.searchsorted(edges, v, side="right") - 1).astype(np.int32)})
-    return df.sparkSession.createDataFrame(pdf, f"`{value}` int, bin int")
+    e = F.array(*[F.lit(int(x)) for x in edges])
+    i = F.col("id").cast("int")
+    values = F.sequence(F.get(e, i), F.get(e, i + 1) - 1)
+    return df.sparkSession.range(len(edges) - 1).select(F.explode(values).alias(value), i.alias("bin"))
 
 
 def outside_totals(spec: DataFrame, lo: int, hi: int, key: str = "slot", value: str = "qlong") -> DataFrame:

@@ -7,6 +7,8 @@ slices, so one busy input is many tasks.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,11 @@ def moving_means(readings: DataFrame, frames: dict[str, tuple[int, int]], key: s
     asks = readings.withColumns({"_t": F.col(t), "_f": F.lit(-1), "_v": F.lit(None).cast(EXACT), "_c": F.lit(0), "_q": F.lit(1).cast("long")})
     both = deltas.unionByName(asks, allowMissingColumns=True)
     # deltas at the time of a question come first, so both ends of a frame are "up to and with"
-    plan = plan_slices(both, (key,), "_t", "_q")
+    plan = replace(plan_slices(readings, (key,), t, t), ts="_t", tie="_q")
     o = Ordered(both, plan)
-    for i in range(len(frames)):
-        here = F.col("_f") == i
-        o.running_sum(F.when(here, F.col("_v")).otherwise(F.lit(0).cast(EXACT)), f"_s{i}")
-        o.running_sum(F.when(here, F.col("_c")).otherwise(0).cast("long"), f"_n{i}")
+    sums = {f"_s{i}": F.when(F.col("_f") == i, F.col("_v")).otherwise(F.lit(0).cast(EXACT)) for i in range(len(frames))}
+    counts = {f"_n{i}": F.when(F.col("_f") == i, F.col("_c")).otherwise(0).cast("long") for i in range(len(frames))}
+    o.running_sums({**sums, **counts})
     out = o.done().filter("_q = 1")
     means = [F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}").cast("double") / F.col(f"_n{i}")).alias(n) for i, n in enumerate(frames)]
     return out.select(*readings.columns, *means)
@@ -72,7 +73,7 @@ def change_over(readings: DataFrame, within_s: int, unit: int = 1000, key: str =
     # a reading sorts after a question at its own time: the next reading "at or after"
     marks = m.select(key, F.col(t).alias("_at"), F.lit(1).cast("long").alias("_q"), F.col(t).alias("_mark"))
     both = asks.unionByName(marks, allowMissingColumns=True)
-    plan = plan_slices(both, (key,), "_at", "_q")
+    plan = replace(plan_slices(r, (key,), t, t), ts="_at", tie="_q")
     first = Ordered(both, plan).next_first(F.col("_mark"), "_t0").done().filter("_q = 0").drop("_q", "_mark", "_at")
     past = m.select(key, F.col(t).alias("_t0"), F.col("_ahead").alias("_past")).dropDuplicates([key, "_t0"])
     x = first.drop("_ahead").join(past, [key, "_t0"], "left")

@@ -63,14 +63,10 @@ class SlicePlan:
 
 
 def _apply_split(df: DataFrame, plan: SlicePlan, kind: str, hot: DataFrame) -> DataFrame:
-    out = df.join(hot, [*plan.keys, SLICE], "left")
-    if kind == "time":
-        cut = F.col(SLICE) + floor_to(F.col(plan.ts) - F.col(SLICE), F.col("_w"))
-        out = out.withColumn(SLICE, F.when(F.col("_w").isNull(), F.col(SLICE)).otherwise(cut))
-    else:
-        cut = floor_to(F.col(plan.tie), F.col("_w"))
-        out = out.withColumn(TIE, F.when(F.col("_w").isNull(), F.col(TIE)).otherwise(cut))
-    return out.drop("_w")
+    start, by = (SLICE, plan.ts) if kind == "time" else (TIE, plan.tie)
+    out = df.join(hot, plan.cols, "left")
+    finer = F.col(start) + floor_to(F.col(by) - F.col(start), F.col("_w"))
+    return out.withColumn(start, F.coalesce(finer, F.col(start))).drop("_w")
 
 
 def plan_slices(
@@ -105,21 +101,20 @@ def plan_slices(
             plan.assign(lean)
             .groupBy(*plan.cols)
             .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b"), F.min(tie).alias("c"), F.max(tie).alias("d"))
-            .filter((F.col("n") > limit) & (F.col(TIE) == 0))
+            .filter((F.col("n") > limit) & ((F.col("b") > F.col("a")) | (F.col("d") > F.col("c"))))
         )
         hot = cells.collect()
         if not hot:
             break
         by_time = [r for r in hot if r["b"] > r["a"]]
-        key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema.fields if f.name in keys)
-        schema = (key_schema + ", " if keys else "") + f"`{SLICE}` long, _w long"
-        if by_time:
-            rows = [(*[r[k] for k in keys], r[SLICE], max(1, (r["b"] - r[SLICE]) // -(-r["n"] // rows_per_slice))) for r in by_time]
-            plan.splits.append(("time", spark.createDataFrame(rows, schema)))
-            continue
-        rows = [(*[r[k] for k in keys], r[SLICE], max(1, (r["d"] - r["c"] + 1) // -(-r["n"] // rows_per_slice))) for r in hot]
-        plan.splits.append(("tie", spark.createDataFrame(rows, schema)))
-        break
+        kind, start, last = ("time", SLICE, "b") if by_time else ("tie", TIE, "d")
+        pick = by_time or hot
+        rows = []
+        for r in pick:
+            low = r[start] if by_time or r[TIE] else r["c"]
+            rows.append((*[r[c] for c in plan.cols], max(1, (r[last] - low + 1) // -(-r["n"] // rows_per_slice))))
+        fields = [f"`{k}` {lean.schema[k].dataType.simpleString()}" for k in keys]
+        plan.splits.append((kind, spark.createDataFrame(rows, ", ".join([*fields, f"`{SLICE}` long", f"`{TIE}` long", "_w long"]))))
     plan.one_slice = whole_keys and not plan.splits
     return plan
 
@@ -158,16 +153,29 @@ class Ordered:
         self.df = self.df.withColumn(name, F.coalesce(inside, F.col("__carry"))).drop("__mark", "__carry")
         return self
 
-    def running_sum(self, value: Column, name: str) -> "Ordered":
-        """Sum of ``value`` up to and with this row."""
+    def running_sums(self, values: dict[str, Column]) -> "Ordered":
+        """Sums of several values up to and with this row: one pass, one seam table for all of them."""
         p = self.plan
-        self.df = self.df.withColumn("__value", value)
-        sums = self.df.groupBy(*p.cols).agg(F.sum("__value").alias("__sum"))
-        self._carry(sums, "__carry", F.sum("__sum").over(p.over_slices().rowsBetween(Window.unboundedPreceding, -1)))
-        inside = F.sum("__value").over(p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0))
-        self.df = self.df.withColumn(name, inside + F.coalesce(F.col("__carry"), F.lit(0))).drop("__value", "__carry")
+        self.df = self.df.withColumns({f"__v_{n}": v for n, v in values.items()})
+        sums = self.df.groupBy(*p.cols).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
+        if not p.one_slice:
+            before = p.over_slices().rowsBetween(Window.unboundedPreceding, -1)
+            carry = sums.select(*p.cols, *[F.sum(f"__s_{n}").over(before).alias(f"__c_{n}") for n in values])
+            self.df = self.df.join(carry, p.cols, "left")
+        upto = p.window(*self.more).rowsBetween(Window.unboundedPreceding, 0)
+        inside = {f"__w_{n}": F.sum(f"__v_{n}").over(upto) for n in values}
+        self.df = self.df.withColumns(inside)
+        keep = [c for c in self.df.columns if not c.startswith(("__v_", "__c_", "__w_"))]
+        totals = [
+            (F.col(f"__w_{n}") if p.one_slice else F.col(f"__w_{n}") + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in values
+        ]
+        self.df = self.df.select(*keep, *totals)
         return self
 
+    def running_sum(self, value: Column, name: str) -> "Ordered":
+        """Sum of ``value`` up to and with this row."""
+        return self.running_sums({name: value})
+
     def next_first(self, mark: Column, name: str) -> "Ordered":
         """Next non-null LONG ``mark`` strictly after this row. ``mark`` must not fall along the order."""
         p = self.plan
