@@ -1,7 +1,8 @@
 """Raw run files as DataFrames: block index, hits, growing files.
 
 ``spark.read.format("rawaggs")``   one row per block (path, place, counter, first and last time), damage, tails
-``spark.read.format("rawhits")``   hits; filters on ``ts_ps`` skip blocks outside the range
+``spark.read.format("rawhits")``   hits; options ``tsFrom`` / ``tsTo`` skip blocks outside the range (a pushed filter would stay
+                                   in the reader for later queries on the same DataFrame, so none is taken)
 ``spark.readStream.format("rawhits")``  hits of growing files, whole aggregates only
 :func:`read_hits`                  hits through a stored index: block ranges, not files, are the unit of work
 """
@@ -12,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from glob import glob
 
 import pandas as pd
 import pyarrow as pa
@@ -22,11 +24,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
     DataSourceStreamReader,
-    GreaterThan,
-    GreaterThanOrEqual,
     InputPartition,
-    LessThan,
-    LessThanOrEqual,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,6 +68,8 @@ class _Options:
         self.strict = str(options.get("strict", "false")).lower() == "true"
         self.dpp = options.get("dpp")
         self.max_words = int(options.get("maxWordsPerTrigger", 1 << 25))
+        self.lo, self.hi = int(options.get("tsFrom", -(1 << 62))), int(options.get("tsTo", 1 << 62))
+        self.checkpoint = options.get("checkpoint")
         self.starting = options.get("startingOffsets", "earliest")
 
 
@@ -100,17 +100,7 @@ class RawAggs(DataSource):
 
 class _HitReader(DataSourceReader):
     def __init__(self, o: _Options):
-        self.o, self.lo, self.hi = o, None, None
-
-    def pushFilters(self, filters):
-        """Bounds on ts_ps choose blocks; they are left for Spark to apply to the hits as well."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ts_ps",):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.lo = f.value if self.lo is None else max(self.lo, f.value)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.hi = f.value if self.hi is None else min(self.hi, f.value)
-            yield f
+        self.o = o
 
     def partitions(self):
         return [FilePart(p) for p in R.list_files(self.o.path)]
@@ -123,18 +113,17 @@ class _HitReader(DataSourceReader):
         walker = R.Walker(w, f.dpp, part.start, part.counter, part.board, ended=part.stop < 0)
         for t in R.index_rows(f, w, walker, self.o.strict, None if part.stop < 0 else part.stop):
             t = t[t["kind"] == "hits"]
-            if self.lo is not None:
-                t = t[t["t_last"] >= self.lo]
-            if self.hi is not None:
-                t = t[t["t_first"] <= self.hi]
+            t = t[(t["t_last"] >= self.o.lo) & (t["t_first"] < self.o.hi)]
             for piece in _chunks(t):
-                yield from _batches(R.decode(f, w, piece, self.o.traces), schema)
+                hits = R.decode(f, w, piece, self.o.traces)
+                yield from _batches(hits[(hits["ts_ps"] >= self.o.lo) & (hits["ts_ps"] < self.o.hi)], schema)
 
 
 class _HitStream(DataSourceStreamReader):
     """Offset: per file its inode, the word after the last whole aggregate taken, that aggregate's counter, the board.
 
-    Each trigger walks the headers of what was added, at most ``maxWordsPerTrigger`` words per file. A file with
+    Each trigger walks the headers of what was added, at most ``maxWordsPerTrigger`` words per file (with the option
+    ``checkpoint``, the query's checkpoint folder; without it the first trigger takes all there is). A file with
     another inode, or shorter than before, is a new file.
     """
 
@@ -147,7 +136,6 @@ class _HitStream(DataSourceStreamReader):
         if self.o.starting == "latest":
             for p in R.list_files(self.o.path):
                 at[p] = self._advance(p, [os.stat(p).st_ino, 0, -1, -1], 1 << 62)
-        self.seen = at
         return {"files": json.dumps(at)}
 
     def _advance(self, path: str, state: list[int], limit: int) -> list[int]:
@@ -162,7 +150,9 @@ class _HitStream(DataSourceStreamReader):
         return [ino, walker.pos, walker.counter, walker.board]
 
     def latestOffset(self):
-        # after a restart nothing is known yet: go to the end of what is written, never behind the last offset
+        if self.seen is None:
+            self.seen = self._last_planned()
+        # not knowing where the query stands (it may be a restart): to the end of what is written, never behind it
         limit = self.o.max_words if self.seen is not None else 1 << 62
         known = self.seen or {}
         now = {}
@@ -171,6 +161,16 @@ class _HitStream(DataSourceStreamReader):
         self.seen = now
         return {"files": json.dumps(now)}
 
+    def _last_planned(self) -> dict | None:
+        """The query's newest offset, from its checkpoint folder (option ``checkpoint``); {} for a fresh query."""
+        if not self.o.checkpoint:
+            return None
+        logs = [f for f in glob(os.path.join(self.o.checkpoint, "offsets", "*")) if os.path.basename(f).isdigit()]
+        if not logs:
+            return json.loads(self.initialOffset()["files"])
+        with open(max(logs, key=lambda f: int(os.path.basename(f))), encoding="utf-8") as f:
+            return json.loads(json.loads(f.read().splitlines()[-1])["files"])
+
     def partitions(self, start, end):
         a, b = json.loads(start["files"]), json.loads(end["files"])
         out = []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from beamloom.schema import CABLING
 
@@ -14,7 +13,7 @@ RUN_ROW = rf"^(\d+),({STAMP}),(.*?)(?:,({STAMP}),(.*))?$"
 COMMENT_HEAD = r"^(Start|Stop) Comment:\s*"
 IMAGE_BYTES = 8192
 
-RUN_FILE = T.StructType.fromDDL(
+RUN_FILE = (
     """format string, run int, prefix string, folder string,
     start struct<time: string, comment: string>,
     stop struct<time: string, run_ms: bigint, comment: string, problems: array<string>,
