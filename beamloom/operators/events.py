@@ -195,11 +195,8 @@ def bunch_size_status(n: "F.Column"):
 def order_check(hits: DataFrame, keys: tuple[str, ...] = ("run", "board"), seq: str = "pos", ts: str = "ts_ps") -> DataFrame:
     """Rows whose time is below that of the row before them in file order."""
     plan = plan_slices(hits, keys, seq, ts)
-    o = Ordered(hits, plan)
-    ends = o.df.withColumn("_nx", F.lead(seq).over(plan.window())).filter(F.col("_nx").isNull())
-    o._carry(ends.withColumnRenamed(ts, "_t"), "_pc", F.lag("_t").over(plan.over_slices()))
-    prev = F.coalesce(F.lag(ts).over(plan.window()), F.col("_pc"))
-    return o.df.withColumn("back_by", prev - F.col(ts)).filter(F.col("back_by") > 0).drop("_pc", SLICE, TIE)
+    x = Ordered(hits, plan).prev_value(ts, "_prev").done()
+    return x.withColumn("back_by", F.col("_prev") - F.col(ts)).filter(F.col("back_by") > 0).drop("_prev")
 
 
 def closed_and_open(bunched: DataFrame, frontier: int, window: int) -> tuple[DataFrame, DataFrame]:

@@ -130,7 +130,7 @@ class Ordered:
 
     def _carry(self, table: DataFrame, name: str, value: Column) -> None:
         if self.plan.one_slice:  # nothing crosses a seam
-            self.df = self.df.withColumn(name, F.lit(None).cast("long"))
+            self.df = self.df.withColumn(name, F.lit(None))
             return
         t = table.withColumn(name, value).select(*self.plan.cols, name)
         self.df = self.df.join(t, self.plan.cols, "left")
@@ -143,6 +143,16 @@ class Ordered:
         self.df = self.df.withColumn(name, F.coalesce(F.lag(p.ts).over(p.window(*self.more)), F.col("__carry"))).drop("__carry")
         return self
 
+    def prev_value(self, col: str, name: str) -> "Ordered":
+        """``col`` of the row before, per key."""
+        p = self.plan
+        w = p.window(*self.more)
+        ends = self._base.withColumn("__next", F.lead(p.tie).over(w)).filter(F.col("__next").isNull())
+        self._carry(ends.withColumnRenamed(col, "__end"), "__carry", F.lag("__end").over(p.over_slices()))
+        here = F.row_number().over(w) == 1
+        self.df = self.df.withColumn(name, F.when(here, F.col("__carry")).otherwise(F.lag(col).over(w))).drop("__carry")
+        return self
+
     def running_last(self, mark: Column, name: str) -> "Ordered":
         """Newest non-null LONG ``mark`` up to and with this row. ``mark`` must not fall along the order."""
         p = self.plan

@@ -23,12 +23,8 @@ def counter_gaps(aggs: DataFrame, keys: tuple[str, ...] = ("serial",), seq: str
     before a seam comes from the last row of the slice before.
     """
     plan = plan_slices(aggs, keys, seq, seq)
-    o = Ordered(aggs, plan)
-    ends = o.df.withColumn("_nx", F.lead(seq).over(plan.window())).filter(F.col("_nx").isNull())
-    o._carry(ends.withColumnRenamed(counter, "_c"), "_pc", F.lag("_c").over(plan.over_slices()))
-    prev = F.coalesce(F.lag(counter).over(plan.window()), F.col("_pc"))
-    step = F.pmod(F.col(counter) - prev, F.lit(AGG_COUNTER_MOD))
-    out = o.df.withColumn("_step", step)
+    o = Ordered(aggs, plan).prev_value(counter, "_prev").done()
+    out = o.withColumn("_step", F.pmod(F.col(counter) - F.col("_prev"), F.lit(AGG_COUNTER_MOD)))
     gap = (F.col("_step") >= 1) & (F.col("_step") <= FORWARD_STEPS)
     return out.select(
         *aggs.columns,
@@ -98,12 +94,12 @@ def health_lines(boards: DataFrame, silent_after: int) -> DataFrame:
 def problem_episodes(steps: DataFrame) -> DataFrame:
     """(step, text) -> kinds of warning with numbers taken out: first, last, steps, episodes, last wording.
 
-    A kind's rows go by step, one row per kind and step, over the steps of one reading.
+    One row per kind and step is ordered, in slices.
     """
     key = F.regexp_replace("text", r"(?<![\w-])\d[\d,.]*", "#")
     per = steps.withColumn("kind", key).groupBy("kind", "step").agg(F.max("text").alias("text"))
-    w = Window.partitionBy("kind").orderBy("step")
-    new = F.coalesce((F.col("step") - F.lag("step").over(w) > 1).cast("int"), F.lit(1))
+    per = Ordered(per, plan_slices(per, ("kind",), "step", "step")).prev_time("_prev").done()
+    new = F.coalesce((F.col("step") - F.col("_prev") > 1).cast("int"), F.lit(1))
     return per.withColumn("_new", new).groupBy("kind").agg(
         F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("steps"),
         F.sum("_new").alias("episodes"), F.max_by("text", "step").alias("text"),
@@ -232,19 +228,16 @@ def completeness(reasons: DataFrame, runs: DataFrame) -> DataFrame:
 
 def written_rate(totals: DataFrame, key: str, at: str = "t", total: str = "bytes") -> DataFrame:
     """Bytes per second from successive totals; a total that fell (a new file) gives NULL."""
-    w = Window.partitionBy(key).orderBy(at)
-    d = F.col(total) - F.lag(total).over(w)
-    dt = F.col(at) - F.lag(at).over(w)
-    return totals.withColumn("rate", F.when(d >= 0, F.try_divide(d.cast("double"), dt.cast("double"))))
+    plan = plan_slices(totals, (key,), at, total)
+    x = Ordered(totals, plan).prev_value(total, "_pv").prev_value(at, "_pt").done()
+    d, dt = F.col(total) - F.col("_pv"), F.col(at) - F.col("_pt")
+    return x.withColumn("rate", F.when(d >= 0, F.try_divide(d.cast("double"), dt.cast("double")))).drop("_pv", "_pt")
 
 
 def stale_since(readings: DataFrame, key: str, value: str, now: int, limit: int, at: str = "t") -> DataFrame:
     """When each value last moved, and whether that is longer ago than ``limit``. Sliced like any ordered work."""
     plan = plan_slices(readings, (key,), at, at)
-    o = Ordered(readings, plan)
-    ends = o.df.withColumn("_nx", F.lead(at).over(plan.window())).filter(F.col("_nx").isNull())
-    o._carry(ends.withColumnRenamed(value, "_v"), "_pv", F.lag("_v").over(plan.over_slices()))
-    prev = F.coalesce(F.lag(value).over(plan.window()), F.col("_pv"))
-    moved = F.when(prev.isNull() | (prev != F.col(value)), F.col(at))
-    m = o.df.withColumn("_m", moved).groupBy(key).agg(F.max("_m").alias("moved"), F.max(at).alias("newest"))
+    x = Ordered(readings, plan).prev_value(value, "_prev").done()
+    moved = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(value)), F.col(at))
+    m = x.withColumn("_m", moved).groupBy(key).agg(F.max("_m").alias("moved"), F.max(at).alias("newest"))
     return m.withColumn("stale", F.lit(now) - F.col("moved") > limit)
