@@ -8,28 +8,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beamloom.operators.ordering import SLICE, TIE, Ordered, SlicePlan, plan_slices
+from beamloom.operators.ordering import SLICE, TIE, Ordered, SlicePlan, floor_to, plan_slices
+from beamloom.session import cut
 
 EVENT_CAP = 100
 BUNCH_CAP = 1024
 
 
-def gap_bunches(hits: DataFrame, window: int, plan: SlicePlan | None = None, numbered: bool = False) -> DataFrame:
-    """Adds ``bunch_t0``: a new bunch starts where the time since the hit before is above ``window``.
+def bunch_cells(hits: DataFrame, window: int, keys: tuple[str, ...] = ("run",), rows_per_slice: int | None = None, numbered: bool = False) -> DataFrame:
+    """(keys, cell, t_first, t_last, n, bunch_t0): which bunch each filled cell of one window's width is in.
 
-    A bunch is named by its run and first time, which needs no numbering; ``numbered`` adds ``bunch_id``,
-    1, 2, ... per run.
+    Hits in one such cell are never a window apart, so a bunch can only begin at a cell's first hit: cells, not
+    hits, are put in order. They come from one aggregate with map-side combine (a burst or a shared time is one row),
+    are written once, and are ordered in slices.
     """
-    plan = plan or plan_slices(hits)
-    ts = F.col(plan.ts)
-    o = Ordered(hits, plan).prev_time("_prev")
-    new = F.col("_prev").isNull() | (ts - F.col("_prev") > window)
-    o.running_last(F.when(new, ts), "bunch_t0")
+    cell = floor_to(F.col("ts_ps"), max(window, 1)).alias("cell")
+    cells = hits.groupBy(*keys, cell).agg(F.min("ts_ps").alias("t_first"), F.max("ts_ps").alias("t_last"), F.count(F.lit(1)).alias("n"))
+    cells = cut(cells, "cells")
+    plan = plan_slices(cells, keys, "cell", "cell", rows_per_slice)
+    o = Ordered(cells, plan).prev_value("t_last", "_prev")
+    fresh = F.col("_prev").isNull() | (F.col("t_first") - F.col("_prev") > window)
+    o.running_last(F.when(fresh, F.col("t_first")), "bunch_t0")
     if numbered:
-        o.running_sum(new.cast("long"), "bunch_id")
+        o.running_sum(fresh.cast("long"), "bunch_id")
     return o.done().drop("_prev")
 
 
+def gap_bunches(hits: DataFrame, window: int, keys: tuple[str, ...] = ("run",), rows_per_slice: int | None = None, numbered: bool = False) -> DataFrame:
+    """Adds ``bunch_t0``: a new bunch starts where the time since the hit before is above ``window``.
+
+    A bunch is named by its run and first time, which needs no numbering; ``numbered`` adds ``bunch_id``,
+    1, 2, ... per run. Hits learn their bunch by an equi-join on their cell.
+    """
+    return with_bunches(hits, bunch_cells(hits, window, keys, rows_per_slice, numbered), window, keys)
+
+
+def with_bunches(hits: DataFrame, cells: DataFrame, window: int, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Hits with the bunch of their cell."""
+    ids = [c for c in ("bunch_t0", "bunch_id") if c in cells.columns]
+    tagged = hits.withColumn("cell", floor_to(F.col("ts_ps"), max(window, 1)))
+    return tagged.join(cells.select(*keys, "cell", *ids), [*keys, "cell"]).select(*hits.columns, *ids)
+
+
+def first_open(cells: DataFrame, frontier: int, window: int) -> int | None:
+    """Start of the first bunch still open at a frontier (its last hit at most ``window`` behind it); bunches of one
+    run follow each other, so all hits before it are in closed bunches."""
+    last = cells.groupBy("bunch_t0").agg(F.max("t_last").alias("_l")).filter(F.col("_l") + window >= frontier)
+    return last.agg(F.min("bunch_t0")).first()[0]
+
+
+def bunch_table(hits: DataFrame, window: int, keys: tuple[str, ...] = ("run",), numbered: bool = False) -> DataFrame:
+    """One row per bunch: first and last time and number of hits. No hit is moved: bunches are sums of cells."""
+    cells = bunch_cells(hits, window, keys, numbered=numbered)
+    ids = [F.max("bunch_id").alias("bunch_id")] if numbered else []
+    return cells.groupBy(*keys, "bunch_t0").agg(F.max("t_last").alias("t_last"), F.sum("n").alias("multi"), *ids)
+
+
 def _chain_exit(nxt: np.ndarray) -> np.ndarray:
     """For each start the last element of its chain i -> nxt[i] that is still inside (pointer doubling)."""
     n = nxt.size

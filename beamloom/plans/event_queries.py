@@ -29,8 +29,7 @@ anchors AS (SELECT run, min(ts_ps) AS ev_t0 FROM t GROUP BY run
     FROM bunched GROUP BY run, bunch_id""",
 )
 def gap_bunches(spark, sf):
-    b = E.gap_bunches(as_hits(spark, sf), GAP, numbered=True)
-    return b.groupBy("run", "bunch_t0").agg(F.max("ts_ps").alias("t_last"), F.count(F.lit(1)).alias("multi"), F.max("bunch_id").alias("bunch_id"))
+    return E.bunch_table(as_hits(spark, sf), GAP, numbered=True)
 
 
 @C.query(
@@ -38,7 +37,7 @@ def gap_bunches(spark, sf):
     f"""WITH {BUNCH_SQL} SELECT multi, count(*) AS n FROM (SELECT run, bunch_id, count(*) AS multi FROM bunched GROUP BY ALL) GROUP BY multi""",
 )
 def multiplicity(spark, sf):
-    return E.multiplicity(E.gap_bunches(as_hits(spark, sf), GAP), ["run", "bunch_t0"])
+    return E.bunch_table(as_hits(spark, sf), GAP).groupBy("multi").agg(F.count(F.lit(1)).alias("n"))
 
 
 @C.query(

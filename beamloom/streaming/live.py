@@ -23,7 +23,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamloom.operators.events import closed_and_open, gap_bunches
+from beamloom.operators.events import bunch_cells, first_open, with_bunches
 
 # A finished run without a stop marker is one quiet for this long.
 FINISHED_QUIET_S = 300
@@ -166,16 +166,12 @@ class LiveRun:
         if self.s.rf_slot is not None:
             hits = hits.filter(F.col("slot") != self.s.rf_slot)
         hits = hits.drop("batch").withColumn("run", F.lit(0)).withColumnsRenamed({"ts_ps": "raw_ts_ps", "tc": "ts_ps"})
-        bunched = gap_bunches(hits, self.s.window)
-        bunched.write.mode("overwrite").parquet(self._path("work", batch_id))
-        bunched = self.spark.read.parquet(self._path("work", batch_id))
-        if final:
-            closed, rest_first = bunched, None
-        else:
-            closed, rest = closed_and_open(bunched, boundary, self.s.window)
-            rest_first = rest.agg(F.min("ts_ps")).first()[0]
-        closed.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(self._path("bunched", batch_id))
-        return boundary if rest_first is None else min(rest_first, boundary)
+        cells = bunch_cells(hits, self.s.window)
+        still_open = None if final else first_open(cells, boundary, self.s.window)
+        closed = hits if still_open is None else hits.filter(F.col("ts_ps") < still_open)
+        out = with_bunches(closed, cells, self.s.window).withColumn("epoch", F.lit(epoch))
+        out.write.mode("overwrite").parquet(self._path("bunched", batch_id))
+        return boundary if still_open is None else min(still_open, boundary)
 
     def skip_what_is_there(self, newest: int) -> None:
         """A start in the middle of a run: hits before this time that arrive later count as early."""

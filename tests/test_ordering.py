@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,9 +42,12 @@ def random_rows(seed, n=600, span=20_000, runs=2):
 def test_bunches_do_not_depend_on_slices(spark, per_slice, window):
     rows = random_rows(per_slice + window)
     df = frame(spark, rows)
-    plan = plan_slices(df, rows_per_slice=per_slice)
-    got = {(r.run, r.pos): r.bunch_t0 for r in E.gap_bunches(df, window, plan).collect()}
-    assert got == gaps_by_hand(rows, window)
+    want = gaps_by_hand(rows, window)
+    got = {(r.run, r.pos): (r.bunch_t0, r.bunch_id) for r in E.gap_bunches(df, window, rows_per_slice=per_slice, numbered=True).collect()}
+    starts = {run: sorted({t for (r, _), t in want.items() if r == run}) for run in (0, 1)}
+    assert got == {k: (t, starts[k[0]].index(t) + 1) for k, t in want.items()}
+    table = {(r.run, r.bunch_t0): r.multi for r in E.bunch_table(df, window).collect()}
+    assert table == Counter((k[0], t) for k, t in want.items())
 
 
 @pytest.mark.parametrize("per_slice,window", [(30, 120), (90, 0)])
@@ -62,7 +66,7 @@ def test_dense_run_without_any_gap(spark):
     plan = plan_slices(df, rows_per_slice=60)
     got = {(r.run, r.pos): r.ev_t0 for r in E.anchored_events(df, 10, plan).collect()}
     assert got == anchors_by_hand(rows, 10)
-    assert {r.bunch_t0 for r in E.gap_bunches(df, 3, plan).collect()} == {0}
+    assert {r.bunch_t0 for r in E.gap_bunches(df, 3, rows_per_slice=60).collect()} == {0}
 
 
 def test_window_is_inclusive_and_anchored(spark):
@@ -84,7 +88,7 @@ def test_a_burst_and_a_shared_time_are_cut_further(spark):
     assert kinds == {"time", "tie"}
     largest = plan.assign(df).groupBy(*plan.cols).count().agg(F.max("count")).first()[0]
     assert largest <= 4 * 25
-    got = {(r.run, r.pos): r.bunch_t0 for r in E.gap_bunches(df, 99, plan).collect()}
+    got = {(r.run, r.pos): r.bunch_t0 for r in E.gap_bunches(df, 99, rows_per_slice=5).collect()}
     assert got == gaps_by_hand(rows, 99)
     ev = {(r.run, r.pos): r.ev_t0 for r in E.anchored_events(df, 150, plan).collect()}
     assert ev == anchors_by_hand(rows, 150)
