@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamloom.operators.events import bunch_cells, first_open, with_bunches
+from beamloom.session import cut
 
 # A finished run without a stop marker is one quiet for this long.
 FINISHED_QUIET_S = 300
@@ -166,7 +167,7 @@ class LiveRun:
         if self.s.rf_slot is not None:
             hits = hits.filter(F.col("slot") != self.s.rf_slot)
         hits = hits.drop("batch").withColumn("run", F.lit(0)).withColumnsRenamed({"ts_ps": "raw_ts_ps", "tc": "ts_ps"})
-        cells = bunch_cells(hits, self.s.window)
+        cells = cut(bunch_cells(hits, self.s.window), "bunches")  # used twice below
         still_open = None if final else first_open(cells, boundary, self.s.window)
         closed = hits if still_open is None else hits.filter(F.col("ts_ps") < still_open)
         out = with_bunches(closed, cells, self.s.window).withColumn("epoch", F.lit(epoch))
