@@ -55,12 +55,17 @@ def as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("e"), F.col("l_extendedprice").alias("e2"),
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
         # several lines may share order and number; this makes the order of hits total
-        (F.col("l_linenumber").cast("long") * 1_000_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("pos"),
+        (
+            F.col("l_linenumber").cast("long") * 100_000_000_000_000_000
+            + F.round(F.col("l_extendedprice") * 100).cast("long") * 1_000_000_000
+            + F.col("l_partkey") % 100_000 * 10_000
+            + F.col("l_suppkey") % 10_000
+        ).alias("pos"),
         F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)").alias("t"),
     )
 
 
 EVENTS_SQL = """evs AS (
   SELECT l_orderkey AS ev, l_linenumber AS ch, l_quantity AS e, l_extendedprice AS e2, l_partkey AS part, l_suppkey AS supp,
-    CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 1000000 + l_suppkey AS pos, epoch_us(l_shipdate) AS t
+    CAST(l_linenumber AS BIGINT) * 100000000000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) * 1000000000 + l_partkey % 100000 * 10000 + l_suppkey % 10000 AS pos, epoch_us(l_shipdate) AS t
   FROM lineitem)"""
