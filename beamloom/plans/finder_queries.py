@@ -14,6 +14,7 @@ from beamloom.operators import joins as J
 from beamloom.plans.adapters import HITS_SQL, as_hits, read
 from beamloom.plans.catalogue import Catalogue
 from beamloom.plans.join_queries import CAB_SQL, cabling
+from beamloom.session import cut
 
 C = Catalogue()
 GAP = 600_000_000
@@ -122,3 +123,38 @@ def track_geometry(spark, sf):
 )
 def momentum_lookup(spark, sf):
     return momentum_map(spark, sf).select("ch0", "ch1", "ch2", F.round("one_light", 6).alias("light"), F.round("dt01", 6).alias("dt01"))
+
+
+CANDIDATE_SQL = f"""{BUNCH_SQL},
+h AS (SELECT *, row_number() OVER (PARTITION BY run, bunch_t0, plane, cl ORDER BY ch, light, t) AS i, count(*) OVER (PARTITION BY run, bunch_t0, plane, cl) AS n,
+  sum(light) OVER (PARTITION BY run, bunch_t0, plane, cl) AS q, CASE ch % 4 WHEN 0 THEN 1.25::DOUBLE WHEN 1 THEN 1.7857::DOUBLE WHEN 2 THEN 2.8571::DOUBLE ELSE 5.0::DOUBLE END AS sg FROM cl),
+pr AS (SELECT a.run, a.bunch_t0, a.plane, CASE WHEN b.light > a.light THEN b.ch ELSE a.ch END AS code, a.light + b.light AS light, (a.t + b.t) / 2 AS t, greatest(a.sg, b.sg) / sqrt(2::DOUBLE) AS sg,
+  CASE WHEN a.n = 2 THEN 'one' ELSE 'sub' END AS kind, a.q AS pq FROM h a JOIN h b ON a.run = b.run AND a.bunch_t0 = b.bunch_t0 AND a.plane = b.plane AND a.cl = b.cl AND b.i = a.i + 1),
+r AS (SELECT run, bunch_t0, plane, ch AS code, light, t, sg, CASE n WHEN 1 THEN 'one' WHEN 2 THEN 'split' ELSE 'sub' END AS kind, q AS pq FROM h UNION ALL SELECT * FROM pr),
+sz AS (SELECT run, bunch_t0, count(*) FILTER (plane = 0) * count(*) FILTER (plane = 1) * count(*) FILTER (plane = 2) AS combos FROM r GROUP BY ALL),
+mp AS (SELECT c_custkey % 16 + 1 AS ch0, (c_custkey // 16) % 16 + 1 AS ch1, (c_custkey // 256) % 16 + 1 AS ch2, 100 + max(c_acctbal) / 20 AS p FROM customer GROUP BY 1, 2, 3),
+mg AS (SELECT *, floor((greatest(least(p, 1500), 20) - 20) / 10) * 10 + 20 AS a, greatest(least(p, 1500), 20) AS pc, p / sqrt(p * p + 139.57::DOUBLE * 139.57::DOUBLE) * 299.792458::DOUBLE AS v FROM mp),
+mx AS (SELECT *, 2 + 240 / a + (pc - a) / 10 * (240 / (a + 10) - 240 / a) AS one, (2345.7 - 517.7)::DOUBLE / v AS d01, (2895.7 - 2345.7)::DOUBLE / v AS d12 FROM mg),
+cd AS (SELECT DISTINCT x.run, x.bunch_t0, ch0, ch1, ch2, p FROM r x JOIN r y ON x.run = y.run AND x.bunch_t0 = y.bunch_t0 AND x.plane = 0 AND y.plane = 1 JOIN r z ON x.run = z.run AND x.bunch_t0 = z.bunch_t0 AND z.plane = 2
+  JOIN mx ON x.code = ch0 AND y.code = ch1 AND z.code = ch2 JOIN sz ON sz.run = x.run AND sz.bunch_t0 = x.bunch_t0
+  WHERE combos BETWEEN 1 AND 4096 AND abs(y.t - x.t - d01) <= 3 * sqrt(x.sg * x.sg + y.sg * y.sg) AND abs(z.t - y.t - d12) <= 3 * sqrt(y.sg * y.sg + z.sg * z.sg)
+  AND (x.kind <> 'split' OR x.pq / one > 1.4::DOUBLE) AND (y.kind <> 'split' OR y.pq / one > 1.4::DOUBLE) AND (z.kind <> 'split' OR z.pq / one > 1.4::DOUBLE))"""
+
+
+@C.query("finder_candidates", f"WITH {CANDIDATE_SQL} SELECT run, bunch_t0, CAST(ch0 AS INT) AS code0, CAST(ch1 AS INT) AS code1, CAST(ch2 AS INT) AS code2, round(p, 6) AS p FROM cd")
+def finder_candidates(spark, sf):
+    rd = Fi.with_sigma(Fi.readings(Fi.clusters(_fired(spark, sf)), SETTINGS), gang(spark), SETTINGS)
+    c = Fi.candidates(cut(rd, "readings"), momentum_map(spark, sf), SETTINGS)
+    return c.select("run", "bunch_t0", "code0", "code1", "code2", F.round("p_mev", 6).alias("p"))
+
+
+@C.query(
+    "finder_decided",
+    f"""WITH {CANDIDATE_SQL}, b AS (SELECT run, bunch_t0, count(*) AS n_hits FROM bh GROUP BY ALL), nc AS (SELECT run, bunch_t0, count(*) AS n_cand FROM cd GROUP BY ALL)
+    SELECT CASE WHEN coalesce(combos, 0) = 0 THEN 'incomplete' WHEN combos > 4096 OR n_cand > 24 THEN 'dropped' WHEN n_cand IS NULL THEN 'none' ELSE 'candidates' END AS status, count(*) AS n, CAST(sum(n_hits) AS BIGINT) AS hits
+    FROM b LEFT JOIN sz USING (run, bunch_t0) LEFT JOIN nc USING (run, bunch_t0) GROUP BY 1""",
+)
+def finder_decided(spark, sf):
+    d, _ = found(spark, sf)
+    status = F.when(F.col("status").isin("incomplete", "dropped", "none"), F.col("status")).otherwise("candidates")
+    return d.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_hits").alias("hits"))
