@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,10 +152,11 @@ def coincidence_matrix(hits: DataFrame, event: str, order: str, channel: str = "
     cut into slices like any other ordered work.
     """
     h = hits.select(event, F.col(order).cast("long").alias("_o"), F.col(channel).alias("ch_y"))
+    plan = plan_slices(h, (event,), "_o", "_o", whole_keys=True)
     present = h.select(event, F.col("ch_y").alias("ch_x")).distinct()
-    x = h.join(present, event).withColumn("_is", (F.col("ch_x") == F.col("ch_y")).cast("long"))
-    plan = plan_slices(x, (event, "ch_x"), "_o", "_o", whole_keys=True)
-    upto = Ordered(x, plan).running_sum(F.col("_is"), "_k").done()
+    x = plan.assign(h).join(present, event).withColumn("_is", (F.col("ch_x") == F.col("ch_y")).cast("long"))
+    per_channel = replace(plan, keys=(event, "ch_x"))  # cut as above, before the channels are set against the hits
+    upto = Ordered(x, per_channel).running_sum(F.col("_is"), "_k").done()
     return upto.groupBy("ch_x", "ch_y").agg(F.sum(F.col("_k") - F.col("_is")).alias("n")).filter("n > 0")
 
 

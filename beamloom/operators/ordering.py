@@ -125,7 +125,7 @@ class Ordered:
     def __init__(self, df: DataFrame, plan: SlicePlan, *more_order: str):
         self.plan = plan
         self.more = more_order
-        self.df = plan.assign(df)
+        self.df = df if SLICE in df.columns else plan.assign(df)
         self._base = self.df
 
     def _carry(self, table: DataFrame, name: str, value: Column) -> None:
