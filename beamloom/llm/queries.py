@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamloom.llm import bpe, tokens
+from beamloom.llm import bpe, chat, decontaminate, partenum, quality, sharding, tokens, topk, urlgraph, warc
+from beamloom.llm.sql import decontaminate_sql, sharding_sql, topk_sql, warc_sql
 from beamloom.plans.adapters import read
 from beamloom.plans.catalogue import Catalogue
+from beamloom.session import cut, scratch_dir
 
 C = Catalogue()
 
@@ -31,3 +33,69 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@C.query("op3_topk", topk_sql())
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+SHARDS = [1.0] * 24
+
+
+@C.query("op6_sharding", sharding_sql())
+def sharding_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.assign(docs, "doc_id", SHARDS, grown_weight=1.0)
+    numbered = sharding.number(placed, "shard", "doc_id", ["size", "text_crc32", "grown_shard"], len(SHARDS))
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@C.query("op8_warc", warc_sql())
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch_dir(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), archive)
+    captures = warc.assemble(warc.read(spark, archive))
+    key = F.regexp_extract(F.decode("metadata.payload", F.lit("UTF-8")), r"key: (-?\d+)", 1)
+    flat = captures.select(
+        "record_id", "type", "refers_to", F.when(key != "", key.cast("long")).alias("page_id"), "payload_bytes", F.coalesce(F.replace("stated_digest", F.lit("sha256:")), "payload_digest").alias("payload_digest")
+    )
+    flat = cut(flat, "captures")
+    stored = flat.filter("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("first"), F.max("payload_bytes").alias("full"))
+    again = flat.filter("type = 'revisit'").join(stored, "refers_to").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    first = flat.filter("type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return first.unionByName(again)
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@C.query("op9_url_filters", urlgraph.judge_sql(RULES))
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(read(spark, sf_dir, "pages"), RULES)
+
+
+@C.query("op10_chat")
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(read(spark, sf_dir, "conversations"))
+
+
+@C.query("op2_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(read(spark, sf_dir, "documents"))
+
+
+@C.query("op5_quality")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@C.query("op7_decontaminate", decontaminate_sql())
+def benchmark_items_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "item_shingles", "shared")
