@@ -1,18 +1,63 @@
-"""A corpus pipeline of four stages over ``documents``; each stage's rows are written and read again by the next one."""
+"""A corpus pipeline of four stages over ``documents``; each stage's rows are written and read again by the next one.
+
+All but the last return the columns of their documents, extra ones included. A null text is an empty one for every stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from beamloom.llm import bpe, decontaminate, partenum, quality
+from beamloom.llm.queries import BPE_FILE
+from beamloom.session import scratch_dir
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 1/2 or more, learnt from the labelled ones among them that are not held out."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, out="__score").filter("__score >= 0.5").drop("__score")
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id; rows without an id stay.
+
+    Rows that share an id and are equal in all columns are one document; those that differ all stay.
+    """
+    found = partenum.classes(docs)
+    others = partenum.broadcast_ids(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct())
+    kept = docs.join(others, docs["doc_id"] == F.col("__id"), "left_anti")
+    repeated = partenum.broadcast_ids(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    again = kept["doc_id"] == F.col("__id")
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").distinct())
 
-STAGES = []
 
-#: Two stages (the classifier and the encoding) can't be said in SQL; tests hold the result against plain Python.
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source, the ids of the text, their number, and whether they decode to the text's very bytes."""
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    coded = bpe.encode(docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")), BPE_FILE, public_tokenizers.PATTERN)
+    back = bpe.decode(coded, BPE_FILE, public_tokenizers.PATTERN)
+    return back.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each_class),
+    ("benchmark decontamination", keep_clean),
+    ("byte-level BPE", encode_texts),
+]
+
+#: The classifier and the encoding can't be said in SQL; tests hold the result against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from beamloom.session import scratch_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_dir(spark, f"pipeline-{name.replace(' ', '-')}")
