@@ -30,14 +30,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
+def shingle_hashes(text: Column) -> Column:
+    """Hashes of all shingles of a text in reading order, repeats included."""
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - WORDS
+        full = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
+        short = F.array(F.aggregate(w, F.size(w).cast("long"), lambda s, x: F.xxhash64(s, x)))
+        return F.when(last >= 0, full).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
+
+    # the words' hashes are bound to a name, or they would be made again for every shingle
+    return F.get(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), of), F.lit(0))
+
+
 def with_shingles(df: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    """The kept columns and ``h``: hashes of all shingles, repeats included."""
-    hashed = df.select(*keep, F.transform(words(text), lambda w: F.xxhash64(w)).alias("w"))
-    last = F.size("w") - WORDS
-    full = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WORDS)]))
-    short = F.array(F.aggregate("w", F.size("w").cast("long"), lambda s, x: F.xxhash64(s, x)))
-    h = F.when(last >= 0, full).when(F.size("w") > 0, short).otherwise(F.array().cast("array<bigint>"))
-    return hashed.withColumn("h", h).drop("w")
+    """The kept columns and ``h``, the hashes of the text's shingles."""
+    return df.select(*keep, shingle_hashes(text).alias("h"))
 
 
 def items_of(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
@@ -48,8 +56,7 @@ def items_of(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> D
 
 def sketches(items: DataFrame) -> DataFrame:
     """h (one row per hash of a sketch) and ``least``: shingles that a document needs to hold any item of the class."""
-    u = F.shiftleft(F.lit(1), F.floor(F.log2(F.col("q").cast("double"))).cast("int") + 1)
-    sized = items.select("h", u.alias("u"))
+    sized = items.select("h", F.expr("shiftleft(1, length(bin(q)))").alias("u"))
     m = F.floor(F.col("u") * (100 - PERCENT) / 100).cast("int") + 1
     return sized.select(F.explode(F.slice("h", 1, m)).alias("h"), F.ceil(F.col("u") / 2 * PERCENT / 100).cast("int").alias("least")).groupBy("h").agg(F.min("least").alias("least"))
 

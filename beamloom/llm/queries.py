@@ -59,7 +59,7 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = scratch_dir(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), archive)
     captures = warc.assemble(warc.read(spark, archive))
-    key = F.regexp_extract(F.decode("metadata.payload", F.lit("UTF-8")), r"key: (-?\d+)", 1)
+    key = F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"key: (-?\d+)", 1)
     flat = captures.select(
         "record_id", "type", "refers_to", F.when(key != "", key.cast("long")).alias("page_id"), "payload_bytes", F.coalesce(F.replace("stated_digest", F.lit("sha256:")), "payload_digest").alias("payload_digest")
     )
