@@ -52,8 +52,12 @@ def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
 def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[edges[i]:edges[i + 1]], and the text each word is of."""
     if len(edges) == 2 and len(data) > 2 * CHUNK_BYTES:
-        found = np.concatenate([word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data)])
+        found = np.concatenate([_word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data)])
         return found, np.zeros(len(found), np.int64)
+    return _word_hashes(data, edges)
+
+
+def _word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~SPACE[data]
     starts = word.copy()
     starts[1:] &= ~word[:-1]
