@@ -8,8 +8,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BINS = 1000
-
 
 def linear_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Half-open bin number; NULL outside."""
@@ -24,7 +22,6 @@ def clamped_bin(n: Column, last: int) -> Column:
 
 def hist1d_bin(x: Column, lo: float, hi: float, bins: int) -> tuple[Column, Column]:
     """(place, bin): place is under / in / over; a value equal to ``hi`` is an entry without a bin."""
-    bins = min(bins, MAX_BINS)
     width = (hi - lo) / bins
     place = F.when(x < lo, "under").when(x > hi, "over").otherwise("in")
     b = F.floor((x - lo) / width).cast("int")
@@ -34,8 +31,8 @@ def hist1d_bin(x: Column, lo: float, hi: float, bins: int) -> tuple[Column, Colu
 def hist2d_cell(x: Column, lo: float, hi: float, bins: int) -> tuple[Column, Column]:
     """(side, cell) of one axis: side -1 / 0 / 1; half-open cells."""
     side = F.when(x < lo, -1).when(x >= hi, 1).otherwise(0)
-    b = F.floor((x - lo) * min(bins, MAX_BINS) / (hi - lo)).cast("int")
-    return side, F.when(side == 0, F.least(b, F.lit(min(bins, MAX_BINS) - 1)))
+    b = F.floor((x - lo) * bins / (hi - lo)).cast("int")
+    return side, F.when(side == 0, F.least(b, F.lit(bins - 1)))
 
 
 def q_edges(lo: int, hi: int, bins: int, log: bool) -> list[int]:

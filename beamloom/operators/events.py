@@ -208,12 +208,16 @@ def multiplicity(grouped: DataFrame, keys: list[str]) -> DataFrame:
     return n.groupBy("multi").agg(F.count(F.lit(1)).alias("n"))
 
 
-def capped_event_table(events: DataFrame, keys: list[str], cols: list[str], order: list[str], cap: int = EVENT_CAP) -> DataFrame:
-    """One row per event: true ``multi``, and arrays of its first ``cap`` hits in time order.
+def capped_event_table(events: DataFrame, keys: list[str], cols: list[str], order: list[str], cap: int | None = None) -> DataFrame:
+    """One row per event: true ``multi``, and arrays of its hits in time order, all of them or the first ``cap``.
 
-    The cap is the event format's own. Spark turns ``row_number <= cap`` into a group limit ahead of the
+    A cap is for formats that have one; ``multi`` tells what it left out. Spark turns ``row_number <= cap`` into a group limit ahead of the
     shuffle, so each map task sends at most ``cap`` rows of an event, however large the event is.
     """
+    if cap is None:
+        hits = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *cols)))
+        all_hits = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("multi"), hits.alias("_h"))
+        return all_hits.select(*keys, "multi", *[F.col(f"_h.{c}").alias(c) for c in cols])
     w = Window.partitionBy(*keys).orderBy(*order)
     placed = events.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= cap)
     total = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("multi"))
@@ -221,11 +225,6 @@ def capped_event_table(events: DataFrame, keys: list[str], cols: list[str], orde
     return rows.join(total, keys).select(*keys, "multi", *[F.col(f"_h.{c}").alias(c) for c in cols])
 
 
-def bunch_size_status(n: "F.Column"):
-    """A bunch above the tracker's hit limit is dropped."""
-    return F.when(n > BUNCH_CAP, "dropped").otherwise("ok")
-
-
 def order_check(hits: DataFrame, keys: tuple[str, ...] = ("run", "board"), seq: str = "pos", ts: str = "ts_ps") -> DataFrame:
     """Rows whose time is below that of the row before them in file order."""
     plan = plan_slices(hits, keys, seq, ts)

@@ -121,12 +121,23 @@ def merge_parts(*parts: DataFrame) -> DataFrame:
 
 
 def weighted_stats(df: DataFrame, keys: list[str], w: Column, x: Column) -> DataFrame:
-    """Mean and standard deviation of x weighted by w; NULL without weight. One pass (sums of powers)."""
-    s = df.groupBy(*keys).agg(F.sum(w).alias("_w"), F.sum(w * x).alias("_wx"), F.sum(w * x * x).alias("_wxx"))
+    """Mean and standard deviation of x weighted by w; NULL without weight.
+
+    Powers are summed about a value of the group itself, so large offsets do not cancel: rows meet a table of one
+    such value per group.
+    """
+    d = df.select(*keys, w.cast("double").alias("_w"), x.cast("double").alias("_x")).filter("_x is not null")
+    some = d.groupBy(*keys).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    some = some.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_low") / 2 + F.col("_high") / 2).alias("_about"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    near = d.join(some, same).withColumn("_d", F.col("_x") - F.col("_about")) if keys else d.crossJoin(some).withColumn("_d", F.col("_x") - F.col("_about"))
+    s = near.groupBy(*keys).agg(
+        F.first("_about").alias("_about"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_d")).alias("_wd"), F.sum(F.col("_w") * F.col("_d") * F.col("_d")).alias("_wdd")
+    )
     ok = F.col("_w") > 0
-    mean = F.when(ok, F.try_divide(F.col("_wx"), F.col("_w")))
-    var = F.try_divide(F.col("_wxx"), F.col("_w")) - mean * mean
-    return s.select(*keys, mean.alias("mean"), F.when(ok, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"))
+    off = F.try_divide(F.col("_wd"), F.col("_w"))
+    var = F.try_divide(F.col("_wdd"), F.col("_w")) - off * off
+    return s.select(*keys, F.when(ok, F.col("_about") + off).alias("mean"), F.when(ok, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"))
 
 
 def shape_overlap(a: DataFrame, b: DataFrame, keys: list[str], on: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beamloom.functions import hitcols as H
 from beamloom.operators.ordering import Ordered, plan_slices
 from beamloom.schema import AGG_COUNTER_MOD
+from beamloom.session import cut
 
 # A counter step up to this is a gap, a larger one damage; a small loss; warnings kept per kind.
 FORWARD_STEPS = 1 << 20
@@ -96,7 +97,7 @@ def problem_episodes(steps: DataFrame) -> DataFrame:
 
     One row per kind and step is ordered, in slices.
     """
-    key = F.regexp_replace("text", r"(?<![\w-])\d[\d,.]*", "#")
+    key = F.regexp_replace("text", r"(^|[\s(=])\d+(?:[.,]\d+)*", "$1#")
     per = steps.withColumn("kind", key).groupBy("kind", "step").agg(F.max("text").alias("text"))
     per = Ordered(per, plan_slices(per, ("kind",), "step", "step")).prev_time("_prev").done()
     new = F.coalesce((F.col("step") - F.col("_prev") > 1).cast("int"), F.lit(1))
@@ -146,17 +147,24 @@ def check_cabling(rows: DataFrame, boards: DataFrame, plane_channels: dict[int,
 
 
 def key_differences(docs: DataFrame, order: str, key: str = "key", value: str = "value") -> DataFrame:
-    """Documents as (order, key, value) rows: every change of a key from one document to the next that has it,
-    and where it appears or goes. One row per key and document reaches the window."""
-    steps = docs.select(order).distinct().withColumn("_i", F.dense_rank().over(Window.orderBy(order)))
-    d = docs.join(steps, order)
-    w = Window.partitionBy(key).orderBy("_i")
-    x = d.withColumns({"_pv": F.lag(value).over(w), "_pi": F.lag("_i").over(w)})
-    added = F.col("_pi").isNull() | (F.col("_i") - F.col("_pi") > 1)
-    changed = ~added & ~F.col(value).eqNullSafe(F.col("_pv"))
-    return x.filter((added & (F.col("_i") > 1)) | changed).select(
-        order, key, F.when(~added, F.col("_pv")).alias("before"), F.col(value).alias("after")
-    )
+    """Documents as (order, key, value) rows: every key whose value is not that of the document before, where it
+    appears (``before`` NULL) and where it goes (``after`` NULL). Each document is joined with the one before by key."""
+    beside = neighbours(docs, order)
+    d = docs.join(beside, order)
+    old = d.filter("_next is not null").select(F.col("_next").alias(order), key, F.col(value).alias("before"), F.lit(True).alias("_was"))
+    new = d.filter("_prev is not null").select(order, key, F.col(value).alias("after"), F.lit(True).alias("_is"))
+    same = F.col("_was").isNotNull() & F.col("_is").isNotNull() & F.col("before").eqNullSafe(F.col("after"))
+    return old.join(new, [order, key], "full_outer").filter(~same).select(order, key, "before", "after")
+
+
+def neighbours(df: DataFrame, order: str) -> DataFrame:
+    """(order, _prev, _next) of the distinct values: ordered by ranges, with one row per range for the seams."""
+    values = cut(df.select(order).filter(F.col(order).isNotNull()).distinct().repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "neighbours")
+    parts = Window.orderBy("_part")
+    seams = values.groupBy("_part").agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    seams = seams.select("_part", F.lag("_high").over(parts).alias("_before"), F.lead("_low").over(parts).alias("_after"))
+    own = Window.partitionBy("_part").orderBy(order)
+    return values.join(seams, "_part").select(order, F.coalesce(F.lag(order).over(own), "_before").alias("_prev"), F.coalesce(F.lead(order).over(own), "_after").alias("_next"))
 
 
 def two_sided_differences(a: DataFrame, b: DataFrame, on: list[str], value: str = "value") -> DataFrame:

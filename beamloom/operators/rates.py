@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamloom.operators.events import anchored_events
+from beamloom.operators.ordering import plan_slices
+
 # Fixed values of the run history: bin, largest number of points, gap and share that make a bin far off.
 RUN_BIN_S = 10
 HISTORY_POINTS = 720
@@ -81,7 +84,8 @@ def dead_time(intervals: DataFrame, key: str = "slot", at_least_ms: int = 1000)
 
     ``intervals``: (run, key, interval, ms, counts, flags, counts_at_flag, lost_flags, lost_n_flags), already one
     row per channel and interval. A window runs from the newest flag of one interval with flags to the newest
-    flag of a later one at least ``at_least_ms`` on; sums over it are differences of running sums.
+    flag of the first later one at least ``at_least_ms`` on, where the next window begins; flags on the way let it
+    grow. Sums over it are differences of running sums.
     """
     w = Window.partitionBy("run", key).orderBy("interval")
     run = intervals.withColumns(
@@ -94,9 +98,12 @@ def dead_time(intervals: DataFrame, key: str = "slot", at_least_ms: int = 1000)
         }
     )
     marks = run.filter(F.col("flags") > 0)
+    marks = marks.select("run", key, "interval", *[F.col(c).cast("long") for c in ("_f", "_c", "_ms", "_ln", "_lf")])
+    placed = anchored_events(marks, at_least_ms - 1, plan_slices(marks, ("run", key), "_ms", "interval"))
+    ends = placed.filter("_ms = ev_t0").groupBy("run", key, "ev_t0").agg(F.min_by(F.struct("interval", "_f", "_c", "_ms", "_ln", "_lf"), "interval").alias("_e")).select("run", key, "_e.*")
     d = {c: F.col(c) - F.lag(c).over(w) for c in ("_c", "_ms", "_ln", "_lf")}
     trig = triggers_at_flag(F.col("_f")) - triggers_at_flag(F.lag("_f").over(w))
-    x = marks.withColumns({"_trig": trig, **{f"d{c}": v for c, v in d.items()}}).filter(F.col("_trig").isNotNull() & (F.col("d_ms") >= at_least_ms))
+    x = ends.withColumns({"_trig": trig, **{f"d{c}": v for c, v in d.items()}}).filter(F.col("_trig").isNotNull())
     lost = F.col("d_ln") * 1024.0
     return x.select(
         "run", key, "interval",

@@ -72,12 +72,12 @@ def single_hit_events(spark, sf):
 
 @C.query(
     "event_table",
-    f"""WITH {EVENTS_SQL} SELECT ev, count(*) AS multi, array_to_string(list(ch ORDER BY pos)[1:5], ',') AS chs,
-    array_to_string(list(CAST(e AS INT) ORDER BY pos)[1:5], ',') AS es FROM evs GROUP BY ev""",
+    f"""WITH {EVENTS_SQL} SELECT ev, count(*) AS multi, array_to_string(list(ch ORDER BY pos), ',') AS chs,
+    array_to_string(list(CAST(e AS INT) ORDER BY pos), ',') AS es FROM evs GROUP BY ev""",
 )
 def event_table(spark, sf):
     ev = as_events(spark, sf).withColumn("ei", F.col("e").cast("int"))
-    t = E.capped_event_table(ev, ["ev"], ["ch", "ei"], ["pos"], cap=5)
+    t = E.capped_event_table(ev, ["ev"], ["ch", "ei"], ["pos"])
     return t.select("ev", "multi", F.array_join(F.col("ch").cast("array<string>"), ",").alias("chs"), F.array_join(F.col("ei").cast("array<string>"), ",").alias("es"))
 
 

@@ -129,19 +129,25 @@ def mean_rates(spark, sf):
     return R.mean_rates(as_hits(spark, sf), "board", 1e6).withColumn("rate", F.round("rate", 9))
 
 
-DEAD_SQL = f"""{HITS_SQL}, f AS (SELECT run, slot, board, ts_ps // {DAY} AS interval, max(CASE WHEN flags & 8 <> 0 THEN ts_ps END) AS tf,
+def _dead_sql(ms: int) -> str:
+    return f"""{HITS_SQL}, f AS (SELECT run, slot, board, ts_ps // {DAY} AS interval, max(CASE WHEN flags & 8 <> 0 THEN ts_ps END) AS tf,
       count(*) AS counts, count(*) FILTER (flags & 8 <> 0) AS flags, count(*) FILTER (flags & 32 <> 0) AS lost_flags, count(*) FILTER (flags & 4 <> 0) AS lost_n_flags FROM hits GROUP BY ALL),
     c AS (SELECT f.run, f.slot, f.interval, count(*) AS caf FROM f JOIN hits h ON h.run = f.run AND h.slot = f.slot AND h.ts_ps // {DAY} = f.interval AND h.ts_ps <= f.tf GROUP BY ALL),
-    r AS (SELECT f.*, sum(flags) OVER w AS sf, sum(counts) OVER w - counts + coalesce(caf, 0) AS sc, sum(86400000) OVER w AS sms,
+    r AS (SELECT f.*, sum(flags) OVER w AS sf, sum(counts) OVER w - counts + coalesce(caf, 0) AS sc, sum({ms}) OVER w AS sms,
       sum(lost_n_flags) OVER w AS sln, sum(lost_flags) OVER w AS slf FROM f LEFT JOIN c USING (run, slot, interval) WINDOW w AS (PARTITION BY f.run, f.slot ORDER BY f.interval)),
     m AS (SELECT *, CASE WHEN sf = 0 THEN 0 ELSE 1024 * (sf + (sf - 1) // 63) END AS trg FROM r WHERE flags > 0),
+    n AS (SELECT run, slot, interval, (SELECT min(b.interval) FROM m b WHERE b.run = a.run AND b.slot = a.slot AND b.sms - a.sms >= 1000) AS nx FROM m a),
+    e AS (SELECT run, slot, min(interval) AS interval FROM m GROUP BY run, slot UNION ALL SELECT e.run, e.slot, nx FROM e JOIN n ON n.run = e.run AND n.slot = e.slot AND n.interval = e.interval WHERE nx IS NOT NULL),
     d AS (SELECT run, slot, board, interval, trg - lag(trg) OVER w AS trig, sc - lag(sc) OVER w AS dc, sms - lag(sms) OVER w AS dms, sln - lag(sln) OVER w AS dln, slf - lag(slf) OVER w AS dlf
-      FROM m WINDOW w AS (PARTITION BY run, slot ORDER BY interval)),
+      FROM m JOIN e USING (run, slot, interval) WINDOW w AS (PARTITION BY run, slot ORDER BY interval)),
     x AS (SELECT run, slot, board, interval, trig * 1000.0::DOUBLE / dms AS input_rate, dln * 1024.0::DOUBLE * 1000 / dms AS lost_rate,
-      greatest(0, 1 - (dc + dln * 1024.0::DOUBLE) / trig) AS missed, least(1, dln * 1024.0::DOUBLE / trig) AS lost, dlf > 0 OR dln > 0 AS lost_seen FROM d WHERE trig IS NOT NULL AND dms >= 1000)"""
+      greatest(0, 1 - (dc + dln * 1024.0::DOUBLE) / trig) AS missed, least(1, dln * 1024.0::DOUBLE / trig) AS lost, dlf > 0 OR dln > 0 AS lost_seen FROM d WHERE trig IS NOT NULL)"""
 
 
-def _dead_channels(spark, sf):
+DEAD_SQL = _dead_sql(86_400_000)
+
+
+def _dead_channels(spark, sf, ms=86_400_000):
     h = as_hits(spark, sf).withColumn("interval", F.expr(f"ts_ps div {DAY}"))
     flag = H.has_flag(F.col("flags"), H.FLAG_1024_COUNTED)
     newest = h.filter(flag).groupBy("run", "slot", "interval").agg(F.max("ts_ps").alias("tf"))
@@ -151,22 +157,32 @@ def _dead_channels(spark, sf):
         F.count_if(F.col("ts_ps") <= F.col("tf")).alias("counts_at_flag"),
         F.count_if(H.has_flag(F.col("flags"), H.FLAG_TRIGGER_LOST)).alias("lost_flags"),
         F.count_if(H.has_flag(F.col("flags"), H.FLAG_LOST_COUNTED)).alias("lost_n_flags"),
-    ).withColumn("ms", F.lit(86_400_000).cast("long"))
+    ).withColumn("ms", F.lit(ms).cast("long"))
     return R.dead_time(iv)
 
 
 @C.query(
     "dead_time",
-    f"WITH {DEAD_SQL} SELECT run, slot, interval, round(input_rate, 9) AS input_rate, round(lost_rate, 9) AS lost_rate, round(missed, 9) AS missed, round(lost, 9) AS lost, lost_seen FROM x",
+    f"WITH RECURSIVE {DEAD_SQL} SELECT run, slot, interval, round(input_rate, 9) AS input_rate, round(lost_rate, 9) AS lost_rate, round(missed, 9) AS missed, round(lost, 9) AS lost, lost_seen FROM x",
 )
 def dead_time(spark, sf):
     d = _dead_channels(spark, sf)
     return d.withColumns({c: F.round(c, 9) for c in ("input_rate", "lost_rate", "missed", "lost")})
 
 
+@C.query(
+    "dead_time_short",
+    f"WITH RECURSIVE {_dead_sql(400)} SELECT run, slot, interval, round(input_rate, 6) AS input_rate, round(lost_rate, 6) AS lost_rate, round(missed, 6) AS missed, round(lost, 6) AS lost, lost_seen FROM x",
+)
+def dead_time_short(spark, sf):
+    """Intervals of 400 ms: windows grow over at least three of them."""
+    d = _dead_channels(spark, sf, 400)
+    return d.withColumns({c: F.round(c, 6) for c in ("input_rate", "lost_rate", "missed", "lost")})
+
+
 @C.query(
     "dead_time_boards",
-    f"""WITH {DEAD_SQL} SELECT run, board, interval, round(sum(input_rate), 6) AS input_rate, round(sum(input_rate * missed) / sum(input_rate), 6) AS missed,
+    f"""WITH RECURSIVE {DEAD_SQL} SELECT run, board, interval, round(sum(input_rate), 6) AS input_rate, round(sum(input_rate * missed) / sum(input_rate), 6) AS missed,
     round(least(1, sum(lost_rate) / sum(input_rate)), 6) AS lost, bool_or(lost_seen) AS lost_seen FROM x GROUP BY run, board, interval""",
 )
 def dead_time_boards(spark, sf):
@@ -301,8 +317,8 @@ def flat_hits(spark, sf):
     return flat(as_hits(spark, sf), drop_pur=True)
 
 
-@C.query("event_strip_sums", f"""WITH {EVENTS_SQL} SELECT ev, CAST(part % 8 AS INT) AS strip, round(sum(CASE WHEN ch % 2 = 0 THEN e END), 6) AS left_sum, round(sum(CASE WHEN ch % 2 = 1 THEN e END), 6) AS right_sum, round(sum(e), 6) AS both_sum FROM evs WHERE part % 8 < 6 GROUP BY ALL""")
+@C.query("event_strip_sums", f"""WITH {EVENTS_SQL} SELECT ev, CAST(part % 6 AS INT) AS strip, round(sum(CASE WHEN ch % 2 = 0 THEN e END), 6) AS left_sum, round(sum(CASE WHEN ch % 2 = 1 THEN e END), 6) AS right_sum, round(sum(e), 6) AS both_sum FROM evs GROUP BY ALL""")
 def event_strip_sums(spark, sf):
-    ev = as_events(spark, sf).withColumn("strip", (F.col("part") % 8).cast("int")).filter("strip < 6")
+    ev = as_events(spark, sf).withColumn("strip", (F.col("part") % 6).cast("int"))
     s = P.strip_sums(ev.withColumn("energy", F.col("e")).withColumn("side", F.when(F.col("ch") % 2 == 0, "left").otherwise("right")), "ev")
     return s.withColumns({c: F.round(c, 6) for c in ("left_sum", "right_sum", "both_sum")})

@@ -173,10 +173,10 @@ def cabling_problems(spark, sf):
 @C.query(
     "key_differences",
     """WITH d AS (SELECT epoch_us(l_shipdate) // 2592000000000 AS doc, CAST(l_suppkey AS VARCHAR) AS key, CAST(max(CAST(l_quantity AS INT)) // 10 AS VARCHAR) AS value FROM lineitem GROUP BY 1, 2),
-    i AS (SELECT doc, dense_rank() OVER (ORDER BY doc) AS i FROM (SELECT DISTINCT doc FROM d)),
-    x AS (SELECT d.*, i, lag(value) OVER w AS pv, lag(i) OVER w AS pi FROM d JOIN i USING (doc) WINDOW w AS (PARTITION BY key ORDER BY i))
-    SELECT doc, key, CASE WHEN NOT (pi IS NULL OR i - pi > 1) THEN pv END AS before, value AS after FROM x
-    WHERE ((pi IS NULL OR i - pi > 1) AND i > 1) OR (NOT (pi IS NULL OR i - pi > 1) AND value IS DISTINCT FROM pv)""",
+    p AS (SELECT doc, lag(doc) OVER (ORDER BY doc) AS prev FROM (SELECT DISTINCT doc FROM d)),
+    k AS (SELECT p.doc, p.prev, keys.key FROM p, (SELECT DISTINCT key FROM d) keys WHERE prev IS NOT NULL)
+    SELECT k.doc, k.key, a.value AS before, b.value AS after FROM k LEFT JOIN d a ON a.doc = k.prev AND a.key = k.key LEFT JOIN d b ON b.doc = k.doc AND b.key = k.key
+    WHERE (a.key IS NULL) <> (b.key IS NULL) OR a.value IS DISTINCT FROM b.value""",
 )
 def key_differences(spark, sf):
     l = read(spark, sf, "lineitem").withColumn("t", us("l_shipdate"))

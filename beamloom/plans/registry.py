@@ -6,7 +6,7 @@ import importlib
 
 from beamloom.plans.catalogue import Build
 
-MODULES = ("event_queries", "hist_queries", "join_queries", "quality_queries", "finder_queries", "raw_queries", "stream_queries", "view_queries")
+MODULES = ("event_queries", "hist_queries", "join_queries", "quality_queries", "finder_queries", "stream_queries", "view_queries")
 
 
 def all_queries() -> tuple[dict[str, Build], dict[str, str]]:

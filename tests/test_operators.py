@@ -12,6 +12,7 @@ from beamloom.functions import binning as B
 from beamloom.functions import hitcols as H
 from beamloom.functions.polygon import in_polygon
 from beamloom.operators import analyzers as A
+from beamloom.operators import events as E
 from beamloom.operators import hist as Hi
 from beamloom.operators import joins as J
 from beamloom.operators import physics as P
@@ -176,3 +177,35 @@ def test_analyzer_registry(spark):
 
     df = spark.createDataFrame([(0, b, t, t) for b in (0, 1) for t in (0, 3, 50, 90, 91)], "run int, board int, ts_ps long, pos long")
     assert {r.ev_t1: r["count"] for r in A.ANALYZERS["count"].run(df)["n"].collect()} == {91: 2, 50: 1}
+
+
+def test_bins_are_as_many_as_asked_for(spark):
+    df = spark.range(2000).select((F.col("id") + 0.5).alias("x"))
+    assert Hi.hist1d(df, F.lit(0), F.col("x"), 0.0, 2000.0, 2000).filter("n = 1").count() == 2000
+    assert Hi.hist2d(df, F.col("x"), (0.0, 2000.0, 2000), F.lit(0.5), (0.0, 1.0, 1)).count() == 2000
+
+
+def test_deviation_of_values_far_from_zero(spark):
+    df = spark.createDataFrame([(1, 1e9), (1, 1e9 + 1), (1, 1e9 + 2), (None, 5.0), (2, None)], "k int, x double")
+    got = {r.k: (r.mean, r.sd) for r in Hi.weighted_stats(df, ["k"], F.lit(1), F.col("x")).collect()}
+    assert got[1] == (1e9 + 1, pytest.approx((2 / 3) ** 0.5)) and got[None] == (5.0, 0.0)
+
+
+def test_dead_time_windows_grow_to_a_second(spark):
+    rows = [(0, 0, i, 500, 1000, 1, 1000, 0, 0) for i in range(10)]
+    cols = "run int, slot int, interval long, ms long, counts long, flags long, counts_at_flag long, lost_flags long, lost_n_flags long"
+    d = R.dead_time(spark.createDataFrame(rows, cols)).orderBy("interval").collect()
+    assert [r.interval for r in d] == [2, 4, 6, 8]
+    assert all(r.input_rate == pytest.approx(2048.0) for r in d)
+
+
+def test_key_that_goes_and_comes_back(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (4, "a", "z"), (4, "b", None), (5, "b", None)], "doc long, key string, value string")
+    got = {tuple(r) for r in Q.key_differences(docs, "doc").collect()}
+    assert got == {(2, "b", "y", None), (4, "a", "x", "z"), (4, "b", None, None), (5, "a", "z", None)}
+
+
+def test_whole_events_without_a_cap(spark):
+    df = spark.range(300).select(F.lit(1).alias("ev"), F.col("id").alias("pos"), (F.col("id") * 7 % 300).alias("ts_ps"))
+    r = E.capped_event_table(df, ["ev"], ["ts_ps"], ["ts_ps", "pos"]).first()
+    assert r.multi == 300 and list(r.ts_ps) == list(range(300))

@@ -127,7 +127,7 @@ def test_newest_events_reach_back_as_far_as_needed(spark):
 
 def test_capped_table_keeps_the_true_multiplicity(spark):
     df = frame(spark, [(0, 5, i) for i in range(101)]).withColumn("ev", F.lit(1))
-    r = E.capped_event_table(df, ["ev"], ["pos"], ["ts_ps", "pos"]).first()
+    r = E.capped_event_table(df, ["ev"], ["pos"], ["ts_ps", "pos"], cap=E.EVENT_CAP).first()
     assert r.multi == 101 and r.pos == list(range(100))
 
 

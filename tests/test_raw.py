@@ -159,3 +159,15 @@ def test_words_that_only_look_like_headers(spark, folder):
     save(folder, board({0: block(tricky)}, 1) + board({0: block(tricky)}, 2))
     assert read(spark, folder).count() == 100
     assert np.dtype("<u4").itemsize == 4
+
+
+def test_a_burst_comes_back_whole(spark, folder):
+    """20,000 hits, 16,000 of them within a millisecond, over more than 4,096 blocks of one board."""
+    words = []
+    for i in range(5000):
+        t = 10_000_000 + i * 100 if i < 4000 else 20_000_000 + i * 100_000
+        words += simple(i + 1, t, n=4)
+    save(folder, words)
+    index = raw.read_index(spark, folder)
+    assert raw.read_hits(index).count() == 20_000
+    assert index.agg(F.sum("hits")).first()[0] == 20_000
