@@ -71,6 +71,7 @@ class _Options:
         self.lo, self.hi = int(options.get("tsFrom", -(1 << 62))), int(options.get("tsTo", 1 << 62))
         self.checkpoint = options.get("checkpoint")
         self.starting = options.get("startingOffsets", "earliest")
+        self.ended = str(options.get("ended", "false")).lower() == "true"
 
 
 class _IndexReader(DataSourceReader):
@@ -110,7 +111,7 @@ class _HitReader(DataSourceReader):
         f, w = R.describe(part.path, self.o.dpp), R.words_of(part.path)
         if part.stop >= 0:  # what was there when the offset was taken: the file may have grown since
             w = w[: part.stop]
-        walker = R.Walker(w, f.dpp, part.start, part.counter, part.board, ended=part.stop < 0)
+        walker = R.Walker(w, f.dpp, part.start, part.counter, part.board)  # a planned stop has been confirmed
         for t in R.index_rows(f, w, walker, self.o.strict, None if part.stop < 0 else part.stop):
             t = t[t["kind"] == "hits"]
             t = t[(t["t_last"] >= self.o.lo) & (t["t_first"] < self.o.hi)]
@@ -124,7 +125,8 @@ class _HitStream(DataSourceStreamReader):
 
     Each trigger walks the headers of what was added, at most ``maxWordsPerTrigger`` words per file (with the option
     ``checkpoint``, the query's checkpoint folder; without it the first trigger takes all there is). A file with
-    another inode, or shorter than before, is a new file.
+    another inode, or shorter than before, is a new file. The newest aggregate of a board's newest file waits for what
+    follows it, or for the option ``ended`` once the run has stopped.
     """
 
     def __init__(self, o: _Options):
@@ -135,15 +137,15 @@ class _HitStream(DataSourceStreamReader):
         at = {}
         if self.o.starting == "latest":
             for p in R.list_files(self.o.path):
-                at[p] = self._advance(p, [os.stat(p).st_ino, 0, -1, -1], 1 << 62)
+                at[p] = self._advance(p, [os.stat(p).st_ino, 0, -1, -1], 1 << 62, self.o.ended)
         return {"files": json.dumps(at)}
 
-    def _advance(self, path: str, state: list[int], limit: int) -> list[int]:
+    def _advance(self, path: str, state: list[int], limit: int, ended: bool) -> list[int]:
         f, w = R.describe(path, self.o.dpp), R.words_of(path)
         ino, pos, counter, board = state
         if ino != os.stat(path).st_ino or len(w) < pos:
             ino, pos, counter, board = os.stat(path).st_ino, 0, -1, -1
-        walker = R.Walker(w, f.dpp, pos, counter, board, ended=False)
+        walker = R.Walker(w, f.dpp, pos, counter, board, ended=ended)
         for _ in walker:
             if walker.pos - pos >= limit:
                 break
@@ -156,8 +158,11 @@ class _HitStream(DataSourceStreamReader):
         limit = self.o.max_words if self.seen is not None else 1 << 62
         known = self.seen or {}
         now = {}
-        for p in R.list_files(self.o.path):
-            now[p] = self._advance(p, known.get(p, [os.stat(p).st_ino, 0, -1, -1]), limit)
+        files = [R.describe(p, self.o.dpp) for p in R.list_files(self.o.path)]
+        newest = {(f.run, f.serial): max(g.index for g in files if (g.run, g.serial) == (f.run, f.serial)) for f in files}
+        for f in files:
+            ended = self.o.ended or f.index < newest[f.run, f.serial]
+            now[f.path] = self._advance(f.path, known.get(f.path, [os.stat(f.path).st_ino, 0, -1, -1]), limit, ended)
         self.seen = now
         return {"files": json.dumps(now)}
 

@@ -136,30 +136,35 @@ class LiveRun:
         return sum(r["late"] for r in new)
 
     def _boundary(self, p: Progress, now: float, last: bool) -> int | None:
-        """Where bunches may be final up to, and the mode: waiting, running, paused, quiet, stopped."""
+        """Where bunches may be final up to; sets the mode (waiting, running, paused, quiet, stopped) and its text.
+
+        A couple holds the boundary back at its newest hit while that came within the longer of the two spans. A run that
+        has stopped, or has been silent for ``hold_s``, is final up to its newest hit.
+        """
         s = self.s
-        if not p.frontier:
-            p.mode, p.status = "waiting", "waiting for the first data"
-            return None
-        top = max(t for t, _ in p.frontier.values())
-        quiet = now - max(w for _, w in p.frontier.values())
-        missing = [b for b in s.boards if not any(k.split("/")[0] == str(b) for k in p.frontier)]
-        if last or self.stopped():
-            p.mode, p.status = "stopped", "run stopped"
-            return top + s.margin + 1
-        if missing and quiet < s.hold_s:
-            p.mode, p.status = "waiting", "waiting for the first data of " + ", ".join(map(str, missing))
+        couples = [(k.split("/")[0], t, now - seen) for k, (t, seen) in p.frontier.items()]
+        silence = min((age for *_, age in couples), default=0.0)
+        absent = sorted({str(b) for b in s.boards} - {board for board, *_ in couples})
+        p.mode = (
+            "waiting" if not couples
+            else "stopped" if last or self.stopped()
+            else "quiet" if silence >= s.hold_s
+            else "waiting" if absent
+            else "running" if silence < s.stall_s
+            else "paused"
+        )
+        p.status = {
+            "waiting": f"nothing from {'boards ' + ', '.join(absent) if couples else 'any board'} so far",
+            "stopped": "the run has ended",
+            "quiet": f"silent for {silence:.0f} s",
+            "running": "taking data",
+            "paused": f"{silence:.0f} s without data, perhaps a pause",
+        }[p.mode]
+        if p.mode == "waiting":
             return None
-        if quiet >= s.hold_s:
-            p.mode, p.status = "quiet", f"no new data for {quiet:.0f} s"
-            return top + s.margin + 1
-        span = max(s.hold_s, s.stall_s)
-        held = [t for t, w in p.frontier.values() if now - w < span]
-        if any(now - w < s.stall_s for _, w in p.frontier.values()):
-            p.mode, p.status = "running", "running"
-        else:
-            p.mode, p.status = "paused", f"no new data for {quiet:.0f} s (a pause?)"
-        return min(held) - s.margin if held else None
+        if p.mode in ("stopped", "quiet"):
+            return max(t for _, t, _ in couples) + s.margin + 1
+        return min(t for _, t, age in couples if age < max(s.hold_s, s.stall_s)) - s.margin
 
     def _give_out(self, done: int, boundary: int, batch_id: int, final: bool, epoch: int) -> int:
         """Writes the bunches that are closed at the boundary; returns the first time not given out."""
