@@ -174,7 +174,11 @@ def overlapping(aggs: DataFrame, slice_width: int, keys: tuple[str, ...] = ("run
 
 
 def placeholder_cabling(channels: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Plane channels in order against digitizer channels in order (small dimension tables)."""
-    a = channels.withColumn("_i", F.row_number().over(Window.orderBy("serial", "channel")))
+    """Plane channels in order against digitizer channels in order.
+
+    ``wanted`` is the fixed list of the tracker's channels; of the digitizer channels only as many, the first ones, are
+    ordered, so each map task sends no more than that.
+    """
+    a = channels.orderBy("serial", "channel").limit(wanted.count()).withColumn("_i", F.row_number().over(Window.orderBy("serial", "channel")))
     b = wanted.withColumn("_i", F.row_number().over(Window.orderBy("seq")))
     return a.join(b, "_i").select("serial", "channel", "kind", "plane", "ch")

@@ -242,9 +242,12 @@ def written_rate(totals: DataFrame, key: str, at: str = "t", total: str = "bytes
     return x.withColumn("rate", F.when(d >= 0, F.try_divide(d.cast("double"), dt.cast("double")))).drop("_pv", "_pt")
 
 
-def stale_since(readings: DataFrame, key: str, value: str, now: int, limit: int, at: str = "t") -> DataFrame:
-    """When each value last moved, and whether that is longer ago than ``limit``. Sliced like any ordered work."""
-    plan = plan_slices(readings, (key,), at, at)
+def stale_since(readings: DataFrame, key: str, value: str, now: int, limit: int, at: str = "t", tie: str | None = None) -> DataFrame:
+    """When each value last moved, and whether that is longer ago than ``limit``. Sliced like any ordered work.
+
+    Readings of one time are taken in the order of ``tie``, or of their values.
+    """
+    plan = plan_slices(readings, (key,), at, tie or value)
     x = Ordered(readings, plan).prev_value(value, "_prev").done()
     moved = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(value)), F.col(at))
     m = x.withColumn("_m", moved).groupBy(key).agg(F.max("_m").alias("moved"), F.max(at).alias("newest"))

@@ -217,7 +217,7 @@ def written_rate(spark, sf):
 def stale_inputs(spark, sf):
     h = as_hits(spark, sf).select("slot", "ts_ps", "pos", F.expr("cast(qlong as long) div 8192").alias("v"))
     now = h.agg(F.max("ts_ps")).first()[0]
-    return Q.stale_since(h.drop("pos"), "slot", "v", now, 36_000_000_000, "ts_ps")
+    return Q.stale_since(h, "slot", "v", now, 36_000_000_000, "ts_ps", "pos")
 
 
 @C.query("setup_identities", "SELECT p_brand, p_type, sha256('{\"p_brand\":\"' || p_brand || '\",\"p_type\":\"' || p_type || '\"}') AS identity, count(*) AS n FROM part GROUP BY ALL")
