@@ -4,8 +4,11 @@ Trust is a personalised PageRank from the hosts that rules mostly allow, along l
 rules mostly block, against them: who links to a blocked host is suspect, who is linked from a trusted host is not. A
 host is blocked if more than ``threshold`` per cent of its trust and distrust together is distrust.
 
-Ranks are whole numbers (shares of 10**12, divided with the rest dropped), so sums have one result in any order and
-the same verdicts come out of every run. Defined cases: a null URL, or one without ``://``, has an empty host and path;
+Ranks are whole numbers (decimals of FINE to each 10**-12 of a kind's seeds, divided with the rest dropped), so sums have
+one result in any order and the same verdicts come out of every run. A share that would vanish is one unit, so each host
+that a seed reaches is judged. Ranks are computed until a round changes none by more than its TOLERANCE-th part; the
+number of rounds grows with the longest way from a seed. Verdicts are taken from the full ranks; ``trust`` and
+``distrust`` give them in whole shares of 10**12, so they can be 0 for a host far from all seeds. Defined cases: a null URL, or one without ``://``, has an empty host and path;
 such pages fit no rule, have no links and are allowed, and so are hosts that neither rank reaches. A null html has no
 links. Repeated rows are judged alike, and count as further pages of their host. An empty table gives no rows.
 """
@@ -20,6 +23,10 @@ from pyspark.sql import functions as F
 from beamloom.session import cut
 
 SCALE = 10**12
+#: Units of rank to one share of SCALE.
+FINE = 10**18
+#: A rank is final once a round adds no more to it than its TOLERANCE-th part.
+TOLERANCE = 10**6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path)
@@ -52,25 +59,34 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return edges.filter("src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: int = 85) -> DataFrame:
-    """Rank of each (kind, host) reached from its kind's seeds within ``rounds`` steps.
+def spread(edges: DataFrame, seeds: DataFrame, damping: int = 85, tolerance: int = TOLERANCE) -> DataFrame:
+    """Rank of each (kind, host) that its kind's seeds reach, in units of 1 / (SCALE * FINE).
 
     edges: kind, src, dst; seeds: kind, host. Each step is one join and one sum that combines before the shuffle; a step's
-    ranks are written, so that plans stay short and a lost executor costs one step.
+    ranks are written, so that plans stay short and a lost executor costs one step. Ranks begin at what the seeds keep, so
+    they only grow, and steps end when no rank grows by more than 1 / ``tolerance`` of itself; a host newly reached does.
     """
     out = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n"))
     edges = cut(edges.join(out, ["kind", "src"]), "graph-edges")
     total = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    start = cut(seeds.join(total, "kind").select("kind", "host", F.expr(f"{SCALE} div n").alias("rank")), "graph-seeds")
+    whole = "decimal(38, 0)"
+    kept = F.expr(f"cast(cast({SCALE} div n as {whole}) * {FINE * (100 - damping) // 100} as {whole})")
+    start = cut(seeds.join(total, "kind").select("kind", "host", kept.alias("rank")), "graph-seeds")
+    none = F.lit(0).cast(whole)
+    share = F.expr(f"cast(greatest(floor(cast(rank * {damping} as {whole}) / cast(100 * n as decimal(20, 0))), 1) as {whole})")
     ranks = start
-    for _ in range(rounds):
-        moved = ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"])).select(edges["kind"], edges["dst"].alias("host"), F.expr(f"rank * {damping} div (100 * n)").alias("rank"))
-        kept = start.select("kind", "host", F.expr(f"rank * {100 - damping} div 100").alias("rank"))
-        ranks = cut(kept.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "graph-ranks")
-    return ranks
-
-
-def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", html: str = "html", rounds: int = 6, threshold: int = 50) -> DataFrame:
+    while True:
+        moved = ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"])).select(edges["kind"], edges["dst"].alias("host"), share.alias("rank"), none.alias("old"))
+        before = ranks.select("kind", "host", none.alias("rank"), F.col("rank").alias("old"))
+        sums = start.withColumn("old", none).unionByName(moved).unionByName(before).groupBy("kind", "host").agg(F.sum("rank").cast(whole).alias("rank"), F.sum("old").cast(whole).alias("old"))
+        grown = F.col("rank") - F.col("old") > F.floor(F.col("rank") / tolerance)
+        ranks = cut(sums.select("kind", "host", "rank", grown.alias("grown")), "graph-ranks")
+        if not ranks.filter("grown").limit(1).count():
+            return ranks.drop("grown")
+        ranks = ranks.drop("grown")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", html: str = "html", threshold: int = 50) -> DataFrame:
     """key, host, path, rule, verdict, and the trust and distrust of the host."""
     u = F.col(f"`{url}`")
     p = pages.select(F.col(f"`{key}`").alias(key), host_of(u).alias("host"), path_of(u).alias("path"), F.col(f"`{html}`").alias("__html"))
@@ -81,16 +97,19 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     seeds = balance.filter("b <> 0").select(F.when(F.col("b") > 0, F.lit("trust")).otherwise(F.lit("distrust")).alias("kind"), "host")
     pairs = cut(links(p, "__html"), "graph-links")
     edges = pairs.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(pairs.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    ranks = spread(edges, seeds, rounds)
-    rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0))
-    hosts = ranks.groupBy("host").agg(rank("trust").alias("trust"), rank("distrust").alias("distrust"))
-    told = judged.join(hosts, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0)), "distrust": F.coalesce("distrust", F.lit(0))})
-    method = F.when(F.col("distrust") * 100 > (F.col("trust") + F.col("distrust")) * threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return told.select(key, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "trust", "distrust")
+    ranks = spread(edges, seeds)
+    rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0)).cast("decimal(38, 0)")
+    hosts = ranks.groupBy("host").agg(rank("trust").alias("t"), rank("distrust").alias("d"))
+    shares = lambda c: F.floor(F.col(c) / F.lit(FINE)).cast("long")
+    bad = F.col("d") * 100 > (F.col("t") + F.col("d")) * threshold
+    hosts = hosts.select("host", shares("t").alias("trust"), shares("d").alias("distrust"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("method"))
+    told = judged.join(hosts, "host", "left")
+    verdict = F.coalesce("said", "method", F.lit("allow"))
+    return told.select(key, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
 
 
 def judge_sql(rules: Sequence[Rule], rounds: int = 6, threshold: int = 50, damping: int = 85) -> str:
-    """The same in SQL over ``pages``."""
+    """The same in SQL over ``pages``, as far as ``rounds`` steps on whole shares of SCALE are enough: where no link leads on, as in the given pages."""
     host = "CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
     path = "CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))

@@ -70,6 +70,24 @@ def test_ranks_and_verdicts(spark):
     assert urlgraph.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_far_hosts_and_those_behind_hubs_are_judged(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">' for h in hosts)
+    chain = [(i, f"http://c{i}.net/", link(f"c{i + 1}.net" if i < 14 else "bad.com")) for i in range(15)]
+    # each hub hands its distrust to 200 hosts, of which one is the next hub: 200**6 is above 10**12
+    hubs = [(1000 * k + i, f"http://h{k}x{i}.net/", link(f"h{k - 1}x0.net" if k > 1 else "bad.com")) for k in range(1, 8) for i in range(200)]
+    rows = [(90000, "http://bad.com/de/", ""), *chain, *hubs]
+    got = {r.page_id: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert len(got) == len(rows) and {r.verdict for r in got.values()} == {"block"}
+    assert abs(got[0].distrust - 10**12 * 0.15 * 0.85**15 / 201) < 1
+
+
+def test_ranks_of_a_loop_come_near_their_fixed_point(spark):
+    edges = spark.createDataFrame([("trust", "a", "b"), ("trust", "b", "a")], "kind string, src string, dst string")
+    got = {r.host: int(r["rank"]) / urlgraph.SCALE / urlgraph.FINE for r in urlgraph.spread(edges, edges.filter("src = 'a'").select("kind", F.col("src").alias("host")), tolerance=100).collect()}
+    a = 0.15 / (1 - 0.85**2)
+    assert 0.93 * a < got["a"] <= a and 0.93 * 0.85 * a < got["b"] <= 0.85 * a
+
+
 def test_hosts_and_paths_of_odd_urls(spark):
     rows = [("a://B.c?x/y", "b.c", ""), ("x://h#f/p", "h", ""), ("s://h/p/q?r#s", "h", "/p/q"), ("://", "", ""), ("a:b://c://d/e", "c:", "//d/e"), (None, "", ""), ("s://h/a\nb?c", "h", "/a\nb")]
     df = spark.createDataFrame([(r[0],) for r in rows], "url string").select("url", F.coalesce(urlgraph.host_of(F.col("url")), F.lit("")).alias("h"), F.coalesce(urlgraph.path_of(F.col("url")), F.lit("")).alias("p"))
