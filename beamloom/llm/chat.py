@@ -1,9 +1,10 @@
 """Transcript parsing: a hidden Markov model over speaker markers and line features finds each line's speaker.
 
-The hidden state of a line is its speaker (system, user, assistant). What is seen of a line: the role that its row
-states, if it is the row's first line, a speaker marker at its start ("User:", "### Assistant", "<|system|>", "[Bot]"),
-whether it ends in a question mark, and its length. A turn may change where a row begins or a marker stands, and hardly
-ever elsewhere. Viterbi finds the likeliest speakers of a whole conversation; lines of one row with one speaker become
+A turn may change where a row begins or a speaker marker stands ("User:", "### Assistant", "<|system|>", "[Bot]"), and
+nowhere else; the lines from there to the next such place are a speech. The hidden state of a speech is its speaker
+(system, user, assistant). What is seen of a speech: the role that its row states, if it is the row's first, its marker,
+whether its last line that isn't blank ends in a question mark, and the length of its longest line. Each counts once, so
+no number of lines overrules a stated role. Viterbi finds the likeliest speakers of a whole conversation; lines of one row with one speaker become
 one turn, without its marker, rendered as ``<|role|>\\n...\\n<|end|>``.
 
 Log probabilities are whole numbers (thousandths), so sums don't depend on the order. Viterbi's step is a max-plus
@@ -41,9 +42,8 @@ def _logs(*p: float) -> list[int]:
 
 
 START = np.array(_logs(0.2, 0.75, 0.05), np.int64)
-#: From (row) to (column), where a row begins or a marker stands, and elsewhere.
+#: From (row) to (column).
 TURN = np.array([_logs(0.03, 0.90, 0.07), _logs(0.02, 0.08, 0.90), _logs(0.02, 0.90, 0.08)], np.int64)
-STAY = np.array([_logs(*[0.998 if i == j else 0.001 for j in range(3)]) for i in range(3)], np.int64)
 #: Evidence for each speaker (row): nothing, or the name of each speaker (columns).
 STATED = np.array([[0] + _logs(*[0.97 if i == j else 0.015 for j in range(3)]) for i in range(3)], np.int64)
 MARKED = np.array([[0] + _logs(*[0.94 if i == j else 0.03 for j in range(3)]) for i in range(3)], np.int64)
@@ -66,30 +66,42 @@ def _which(found: list[Column]) -> Column:
 
 
 def _seen(line: Column, at: Column, role: Column) -> Column:
-    """What is seen of a line, as one number: first line of its row, stated role, marker, question, length."""
+    """What is seen of a line, as one number: first line of its row, stated role, marker, question, length (3: blank)."""
     stated = F.when(at == 0, _which([role.rlike(f"(?i)^\\s*(?:{n})\\s*$") for n in NAMES])).otherwise(F.lit(0))
     marked = _which([line.rlike(marker(n)) for n in NAMES])
     asks = line.rlike(r"[?？]\s*$").cast("int")
-    size = F.when(F.length(line) < 60, 0).when(F.length(line) < 240, 1).otherwise(2)
-    return ((((at == 0).cast("int") * 4 + stated) * 4 + marked) * 2 + asks) * 3 + size
+    size = F.when(line.rlike(r"^\s*$"), 3).when(F.length(line) < 60, 0).when(F.length(line) < 240, 1).otherwise(2)
+    return ((((at == 0).cast("int") * 4 + stated) * 4 + marked) * 2 + asks) * 4 + size
 
 
 def evidence() -> np.ndarray:
     """Log probability of each number of _seen for each speaker."""
-    codes = np.arange(2 * 4 * 4 * 2 * 3)
-    size, asks, marked, stated = codes % 3, codes // 3 % 2, codes // 6 % 4, codes // 24 % 4
+    codes = np.arange(2 * 4 * 4 * 2 * 4)
+    size, asks, marked, stated = codes % 4 % 3, codes // 4 % 2, codes // 8 % 4, codes // 32 % 4
     return (STATED[:, stated] + MARKED[:, marked] + ASKS[:, asks] + LENGTH[:, size]).T
 
 
 EVIDENCE = evidence()
 
 
-def step(code: int) -> np.ndarray:
-    """Matrix of one line: from the speaker before to this line's, evidence included."""
-    return (TURN if code >= 96 or code // 6 % 4 else STAY) + EVIDENCE[code]
+#: Matrix of each number: from the speaker before to this speech's, evidence included.
+STEPS = [TURN + e for e in EVIDENCE]
 
 
-STEPS = [step(c) for c in range(len(EVIDENCE))]
+def speeches(codes: list[int]) -> list[tuple[int, int]]:
+    """Number as of _seen, and count of lines, of each speech of a row with these lines."""
+    out: list[tuple[int, int]] = []
+    for c in codes:
+        if c >= 128 or c // 8 % 4:
+            out.append((c, 1))
+            continue
+        head, n = out[-1]
+        if head % 4 == 3:
+            head += c % 8 - head % 8
+        elif c % 4 != 3:
+            head += c // 4 % 2 * 4 + max(head % 4, c % 4) - head % 8
+        out[-1] = head, n + 1
+    return out
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,7 +116,7 @@ def product(codes: list[int]) -> np.ndarray:
 
 
 def decoded(codes: list[int], before: int | None, last: int | None) -> list[int]:
-    """Likeliest speakers of a chunk's lines after the speaker ``before`` (None: a conversation begins), ending in ``last``."""
+    """Likeliest speakers of a chunk's speeches after the speaker ``before`` (None: a conversation begins), ending in ``last``."""
     score = START + EVIDENCE[codes[0]] if before is None else STEPS[codes[0]][before]
     back = []
     for c in codes[1:]:
@@ -170,7 +182,7 @@ def parse(table: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     def summary(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
             for key, got in runs(parts, 3):
-                codes = [x for r in got for x in r[3]]
+                codes = [c for r in got for c, _ in speeches(r[3])]
                 start = START + EVIDENCE[codes[0]]
                 for x in codes[1:]:
                     start = (start[:, None] + STEPS[x]).max(axis=0)
@@ -197,11 +209,13 @@ def parse(table: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
             for (conv, *_), got in runs(parts, 3):
-                path = iter(decoded([x["code"] for r in got for x in r[3]], got[0][4], got[0][5]))
+                said = [speeches([x["code"] for x in r[3]]) for r in got]
+                path = decoded([c for r in said for c, _ in r], got[0][4], got[0][5])
+                speakers = iter([s for s, n in zip(path, (n for r in said for _, n in r)) for _ in range(n)])
                 for turn, _, _, lines, *_ in got:
                     part, now, kept = -1, None, []
                     for x in lines:
-                        s = next(path)
+                        s = next(speakers)
                         if s != now:
                             if now is not None:
                                 yield conv, turn, part, ROLES[now], "\n".join(kept)

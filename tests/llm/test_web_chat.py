@@ -137,3 +137,10 @@ def test_long_conversation_in_chunks_keeps_its_roles(spark):
     codes = [c for i in range(300) for c in seen[i]]
     place = lambda got: [chat.ROLES.index(got[i, 0]) for i in range(300)]
     assert score_of(codes, place(whole)) == score_of(codes, place(parts)) == int(np.max(score_of(codes, chat.decoded(codes, None, None))))
+
+
+def test_long_rows_keep_their_stated_roles(spark):
+    kinds = {"short": "x = 1", "middle": "m" * 100, "long": "l" * 300, "blank": "", "question": "is it so?", "mixed": "l" * 300 + "\n\nwhy?\n"}
+    rows = [(3 * k + j, t, r, "\n".join([kind] * n)) for k, (n, kind) in enumerate(itertools.product((1, 5, 12, 30, 400), kinds.values())) for j, r in enumerate(("user", "assistant", "system")) for t, r, kind, n in [(0, "user", "and now?", 1), (1, r, kind, n), (2, "assistant" if r == "user" else "user", "so be it", 1)][1 if r != "assistant" else 0 :]]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.part, r.role, r.text) for r in got) == sorted((c, t, 0, r, x) for c, t, r, x in rows)
