@@ -5,15 +5,17 @@ nowhere else; the lines from there to the next such place are a speech. The hidd
 (system, user, assistant). What is seen of a speech: the role that its row states, if it is the row's first, its marker,
 whether its last line that isn't blank ends in a question mark, and the length of its longest line. Each counts once, so
 no number of lines overrules a stated role. Viterbi finds the likeliest speakers of a whole conversation; lines of one row with one speaker become
-one turn, without its marker, rendered as ``<|role|>\\n...\\n<|end|>``.
+one turn, rendered as ``<|role|>\\n...\\n<|end|>``. A marker is left out only where a turn begins with it whose speaker it
+names; all other lines are kept as they are.
 
 Log probabilities are whole numbers (thousandths), so sums don't depend on the order. Viterbi's step is a max-plus
-matrix product, and that is associative: a conversation is cut into chunks of CHUNK turn numbers, each chunk gives one
-3 x 3 matrix, the matrices of a conversation are walked, and chunks are then decoded apart from each other with both
-their ends known. So no conversation, however long, has its lines in one task.
+matrix product, and that is associative: a conversation is cut into chunks of CHUNK rows, each chunk gives one 3 x 3 matrix,
+the matrices of a conversation are walked, and chunks are then decoded apart from each other with both their ends known.
+Rows are numbered by ranges of (conversation, turn, role, first PREFIX characters), so no conversation, however long
+and whatever its turn numbers, has its lines in one task.
 
 Defined cases. Rows are ordered by turn, then role, then text, nulls first. Equal rows of one conversation and turn count
-once. A row without a conversation id is a conversation of its own. A null text is one empty line; line ends are
+once. Each row without a conversation id is a conversation of its own, equal ones too. A null text is one empty line; line ends are
 \\n, \\r\\n or \\r. A null or unknown role is no evidence. Of equally likely speakers, the first in ROLES is taken at
 the end of each chunk and at each step back. An empty table gives no rows; other columns aren't read.
 """
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamloom.session import cut
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 4096
+PREFIX = 256
 
 #: Names of speakers in markers and role columns (fixed values), in the order of ROLES.
 NAMES = ("system|instructions?|developer|context", "user|human|customer|question|q", "assistant|bot|ai|model|gpt|answer|a")
@@ -167,64 +170,80 @@ def _rows(schema: str, names: list[str], rows: Iterator[tuple], size: int = 4000
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), types)], names=names)
 
 
+def numbered(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` with the chunk of each; ``at`` grows with their order, and its upper bits name the part it was given in.
+
+    It is null for a conversation of up to ``chunk`` rows, and negative, each its own, for rows without one, so that
+    these spread over tasks. A small table has one row per part and conversation of more than ``chunk`` rows: where its numbers begin.
+    """
+    part = F.shiftright("at", 33).alias("part")
+    held = rows.filter("conv IS NOT NULL").groupBy("conv", part).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("conv")
+    held = held.withColumns({"before_part": F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"), "all": F.sum("n").over(whole)})
+    begins = cut(held.filter(F.col("all") > chunk).select("conv", "part", (F.col("before_part") - F.col("least")).alias("off")), "chat-parts")
+    number = F.when(F.col("conv").isNull(), -1 - F.col("at")).otherwise(F.floor((F.col("at") + F.col("off")) / chunk))
+    return rows.withColumn("part", part).join(begins, ["conv", "part"], "left").withColumn("chunk", number).drop("part", "off")
+
+
 def parse(table: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """conv_id, turn, part (from 0, of a row), role, text and rendered: the canonical turns."""
     c = lambda n: F.col(f"`{n}`")
     rows = table.select(c(conv).cast("long").alias("conv"), c(turn).cast("long").alias("turn"), c(role).alias("role"), c(text).alias("text"))
-    alone = F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumns({"alone": alone, "chunk": F.floor(F.col("turn") / chunk)})
-    rows = rows.groupBy("conv", "alone", "chunk", "turn", "role", "text").agg(F.lit(1))
+    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col(x).asc_nulls_first() for x in ("conv", "turn", "role", "text")]
+    rows = rows.repartitionByRange(*order[:3], F.substring("text", 1, PREFIX).asc_nulls_first()).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)
-    rows = rows.select("conv", "alone", "chunk", "turn", "role", "text", F.transform(lines, lambda x, i: F.struct(_seen(x, i, F.coalesce("role", F.lit(""))).alias("code"), F.regexp_replace(x, ANY_MARKER, "").alias("line"))).alias("lines"))
-    rows = cut(rows, "chat-rows")
-    keys, order = ["conv", "alone", "chunk"], [F.col(x).asc_nulls_first() for x in ("conv", "alone", "chunk", "turn", "role", "text")]
+    seen = lambda x, i: F.struct(_seen(x, i, F.coalesce("role", F.lit(""))).alias("code"), x.alias("line"), (F.length(x) - F.length(F.regexp_replace(x, ANY_MARKER, ""))).alias("mark"))
+    rows = cut(rows.select("conv", "at", "turn", "n", F.transform(lines, seen).alias("lines")), "chat-rows")
+    rows = numbered(rows, chunk)
+    keys = ["conv", "chunk"]
 
     def summary(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for key, got in runs(parts, 3):
-                codes = [c for r in got for c, _ in speeches(r[3])]
+            for key, got in runs(parts, 2):
+                codes = [c for r in got for c, _ in speeches(r[1])]
                 start = START + EVIDENCE[codes[0]]
                 for x in codes[1:]:
                     start = (start[:, None] + STEPS[x]).max(axis=0)
                 yield (*key, start.tolist(), product(codes).ravel().tolist())
 
-        return _rows("long long long longs longs", [*keys, "start", "matrix"], made())
+        return _rows("long long longs longs", ["conv", "chunk", "start", "matrix"], made())
 
-    codes = rows.select(*keys, "turn", "role", "text", F.col("lines.code").alias("codes"))
-    chunks = codes.repartition(*keys).sortWithinPartitions(*order).mapInArrow(summary, "conv long, alone long, chunk long, start array<long>, matrix array<long>")
+    codes = rows.filter("chunk >= 0").select("conv", "chunk", "at", F.col("lines.code").alias("codes"))
+    chunks = codes.repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(summary, "conv long, chunk long, start array<long>, matrix array<long>")
 
     def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for (conv, alone), got in runs(parts, 2):
+            for (conv,), got in runs(parts, 1):
                 out = ends(got[0][1], [np.array(r[2], np.int64).reshape(3, 3) for r in got[1:]])
                 for i, r in enumerate(got):
-                    yield conv, alone, r[0], out[i - 1] if i else None, out[i]
+                    yield conv, r[0], out[i - 1] if i else None, out[i]
 
-        return _rows("long long long int int", [*keys, "before", "last"], made())
+        return _rows("long long int int", ["conv", "chunk", "before", "last"], made())
 
-    borders = chunks.repartition("conv", "alone").sortWithinPartitions(*order[:3]).mapInArrow(walk, "conv long, alone long, chunk long, before int, last int")
-    same = lambda k: F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
-    joined = rows.alias("r").join(borders.alias("b"), same("conv") & same("alone") & same("chunk")).select("r.*", "b.before", "b.last")
+    borders = chunks.repartition("conv").sortWithinPartitions(*keys).mapInArrow(walk, "conv long, chunk long, before int, last int")
+    joined = rows.join(cut(borders, "chat-borders"), keys, "left").select(*keys, "at", "turn", "n", "lines", "before", "last")
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for (conv, *_), got in runs(parts, 3):
+            for (conv, _), got in runs(parts, 2):
                 said = [speeches([x["code"] for x in r[3]]) for r in got]
                 path = decoded([c for r in said for c, _ in r], got[0][4], got[0][5])
                 speakers = iter([s for s, n in zip(path, (n for r in said for _, n in r)) for _ in range(n)])
-                for turn, _, _, lines, *_ in got:
-                    part, now, kept = -1, None, []
+                for _, turn, n, lines, *_ in got:
+                    parts_of, now = [], None
                     for x in lines:
                         s = next(speakers)
-                        if s != now:
-                            if now is not None:
-                                yield conv, turn, part, ROLES[now], "\n".join(kept)
-                            part, now, kept = part + 1, s, []
-                        kept.append(x["line"])
-                    yield conv, turn, part, ROLES[now], "\n".join(kept)
+                        begins, now = s != now, s
+                        if begins:
+                            parts_of.append((s, []))
+                        parts_of[-1][1].append(x["line"][x["mark"] :] if begins and x["code"] // 8 % 4 == s + 1 else x["line"])
+                    for _ in range(n if conv is None else 1):
+                        for part, (s, kept) in enumerate(parts_of):
+                            yield conv, turn, part, ROLES[s], "\n".join(kept)
 
         return _rows("long long int string string", ["conv", "turn", "part", "role", "text"], made())
 
-    turns = joined.repartition(*keys).sortWithinPartitions(*order).mapInArrow(decode, "conv long, turn long, part int, role string, text string")
+    turns = joined.repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(decode, "conv long, turn long, part int, role string, text string")
     rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>"))
     return turns.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "part", "role", "text", rendered.alias("rendered"))

@@ -144,3 +144,25 @@ def test_long_rows_keep_their_stated_roles(spark):
     rows = [(3 * k + j, t, r, "\n".join([kind] * n)) for k, (n, kind) in enumerate(itertools.product((1, 5, 12, 30, 400), kinds.values())) for j, r in enumerate(("user", "assistant", "system")) for t, r, kind, n in [(0, "user", "and now?", 1), (1, r, kind, n), (2, "assistant" if r == "user" else "user", "so be it", 1)][1 if r != "assistant" else 0 :]]
     got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id, r.turn, r.part, r.role, r.text) for r in got) == sorted((c, t, 0, r, x) for c, t, r, x in rows)
+
+
+def test_markers_stay_where_no_turn_begins(spark):
+    said = ["the choice\nAnswer: 42\nso it is", "a list\nModel: X100", "pick\nA: first option", "**Answer:** 1\n[bot] 2"]
+    rows = [(i, t, r, x) for i, text in enumerate(said) for t, r, x in [(0, "user", "A: first, or B?"), (1, "assistant", text), (2, "user", "thanks")]]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got) == sorted((*r[:3], r[3].removeprefix("**Answer:** ")) for r in rows)
+
+
+def test_rows_without_ids_are_each_a_conversation(spark):
+    rows = [(None, 0, "user", "same"), (None, 0, "user", "same"), (None, 0, "x", None), (None, 0, None, "x")]
+    got = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.text for r in got) == ["", "same", "same", "x"]
+
+
+def test_equal_turns_fall_into_chunks(spark):
+    rows = [(1, t, None, f"line {i:03d}") for i in range(100) for t in (None, 7)] + [(2, 1, None, "line")]
+    table = spark.createDataFrame(rows, "conv long, turn long, role string, text string").repartitionByRange(4, F.col("turn").asc_nulls_first(), "text").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "text")
+    got = chat.numbered(table.filter("conv = 1").withColumn("at", F.monotonically_increasing_id()), 16).orderBy("at").select("text", "chunk").collect()
+    assert [r.text for r in got] == [f"line {i:03d}" for i in range(100)] * 2 and [r.chunk for r in got] == [i // 16 for i in range(200)]
+    frame = table.withColumnRenamed("conv", "conv_id")
+    assert {(r.turn, r.text) for r in chat.parse(frame, chunk=16).collect() if r.conv_id == 1} == {(t, x) for _, t, _, x in rows[:-1]}
