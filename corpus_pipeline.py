@@ -23,12 +23,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect, the one with the smallest id; rows without an id stay.
 
-    Rows that share an id and are equal in all columns are one document; those that differ all stay.
+    Rows that share an id and are equal in all columns are one document; those that differ all stay, unless their own text
+    links to another document. Of the texts of one id, one counts under the id and the others after all ids.
     """
-    found = partenum.classes(docs)
-    others = partenum.broadcast_ids(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(others, docs["doc_id"] == F.col("__id"), "left_anti")
-    repeated = partenum.broadcast_ids(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("count"), F.min(mark).alias("__low"), F.max(mark).alias("__high")).filter("count > 1")
+    repeated = partenum.broadcast_ids(several.select("__id", "__low", "__high"))
+    texts = docs.join(repeated.filter("__low < __high"), docs["doc_id"] == F.col("__id")).filter(mark > F.col("__low")).select("__id", mark.alias("__mark")).distinct()
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    texts = partenum.broadcast_ids(texts.withColumn("__later", F.lit(top) + 1 + F.monotonically_increasing_id()))
+    keyed = docs.join(texts, (docs["doc_id"] == texts["__id"]) & (mark == texts["__mark"]), "left").select(docs["*"], F.coalesce("__later", docs["doc_id"].cast("long")).alias("__key"))
+    found = partenum.classes(keyed, "__key")
+    others = partenum.broadcast_ids(found.filter("component_id < __key").select(F.col("__key").alias("__other")).distinct())
+    kept = keyed.join(others, keyed["__key"] == F.col("__other"), "left_anti").drop("__key")
     again = kept["doc_id"] == F.col("__id")
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").distinct())
 

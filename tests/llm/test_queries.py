@@ -58,3 +58,13 @@ def test_stages_keep_columns_and_take_awkward_rows(spark):
     assert sorted((r.doc_id for r in one if r.doc_id is not None)) == sorted(set(range(1, 21)) - {2, 3, 9})
     assert sum(r.doc_id is None for r in one) == 2
     assert corpus_pipeline.encode_texts(spark, docs, SF).filter("NOT round_trip").count() == 0
+
+
+def test_a_text_that_shares_its_id_with_a_copy_stays(spark):
+    from tests.llm.data import frame, words
+
+    copied, alone = words(60, 5), words(60, 6)
+    docs = frame(spark, [(1, copied), (2, copied), (2, alone), (2, alone), (3, copied), (None, alone)])
+    got = corpus_pipeline.keep_one_of_each_class(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, copied), (2, alone), (None, alone)], key=repr)
