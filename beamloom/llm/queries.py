@@ -58,15 +58,22 @@ def sharding_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = scratch_dir(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), archive)
-    captures = warc.assemble(warc.read(spark, archive))
+    return pages_of(warc.assemble(warc.read(spark, archive)))
+
+
+def pages_of(captures: DataFrame) -> DataFrame:
+    """Pages with the digests of the bytes read; fails if a record is cut or damaged, or its response is missing."""
     key = F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"key: (-?\d+)", 1)
     flat = captures.select(
-        "record_id", "type", "refers_to", F.when(key != "", key.cast("long")).alias("page_id"), "payload_bytes", F.coalesce(F.replace("stated_digest", F.lit("sha256:")), "payload_digest").alias("payload_digest")
+        "record_id", "type", "refers_to", F.when(key != "", key.cast("long")).alias("page_id"), "payload_bytes", "payload_digest", "stated_digest", (F.col("complete") & F.coalesce("metadata.complete", F.lit(True)) & F.coalesce("request.complete", F.lit(True))).alias("complete")
     )
     flat = cut(flat, "captures")
-    stored = flat.filter("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("first"), F.max("payload_bytes").alias("full"))
-    again = flat.filter("type = 'revisit'").join(stored, "refers_to").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
-    first = flat.filter("type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    proved = warc.proved("complete", "stated_digest", "payload_digest", "record_id").alias("payload_digest")
+    responses = flat.filter("type = 'response'").select("record_id", "page_id", "payload_bytes", proved)
+    stored = responses.groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("first"), F.max("payload_bytes").alias("full"), F.min("payload_digest").alias("of_first"))
+    again = flat.filter("type = 'revisit'").join(stored, "refers_to", "left")
+    again = again.select("page_id", F.col("full").alias("payload_bytes"), warc.proved("complete", "stated_digest", "of_first", "record_id").alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    first = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     return first.unionByName(again)
 
 

@@ -155,3 +155,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     main = records.filter(F.col("type").isin("response", "revisit")).drop("concurrent_to")
     return main.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
+
+
+def proved(complete: str, stated: str, computed: str, record: str) -> Column:
+    """The computed digest; an error where the record is not complete, or states another one or the digest is missing."""
+    good = F.col(complete) & F.coalesce(F.col(stated) == F.concat(F.lit("sha256:"), F.col(computed)), F.col(stated).isNull() & F.col(computed).isNotNull())
+    return F.when(good, F.col(computed)).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.coalesce(record, F.lit("without identifier")))).cast("string"))

@@ -5,10 +5,12 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from beamloom.llm import chat, urlgraph, warc
-from beamloom.llm.queries import RULES
+from beamloom.llm.queries import RULES, pages_of
 from beamloom.session import scratch_dir
 
 
@@ -36,6 +38,24 @@ def test_empty_archive_and_damage(spark):
     assert [(r[0], r[6], r[7]) for r in warc.records_of(cut)] == [("metadata", False, 3)]
 
 
+def test_damaged_payloads_do_not_pass(spark):
+    path = scratch_dir(spark, "warc-test")
+    warc.write(spark.createDataFrame([(1, "http://a", "p" * 200), (2, "http://b", "p" * 200), (3, "http://c", "short")], "page_id long, url string, html string"), path)
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect()).encode()
+
+    def got(data):
+        rows = spark.createDataFrame(list(warc.records_of(data)), warc.RECORD)
+        return sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in pages_of(warc.assemble(rows)).collect())
+
+    long, short = (hashlib.sha256(x).hexdigest() for x in (b"p" * 200, b"short"))
+    assert got(text) == [(1, 200, long, "response"), (2, 200, long, "revisit"), (3, 5, short, "response")]
+    at, kind = text.index(b"short"), b"WARC-Type: response"
+    gone = text.rindex(kind, 0, text.index(b"p" * 200))
+    for bad in (text.replace(b"p" * 200, b"p" * 199 + b"q"), text.replace(b"\r\n\r\nshort", b"\r\n\r\nshirt"), text[: at + 2], text[:gone] + b"WARC-Type: resource" + text[gone + len(kind) :]):
+        with pytest.raises(PySparkException, match="damaged record"):
+            got(bad)
+
+
 def plain_ranks(edges, seeds, rounds):
     out = {}
     for a, _ in edges:
