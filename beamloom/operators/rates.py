@@ -53,7 +53,7 @@ def history_bins(hits: DataFrame, bin_width: int, gap_bins: int, share: float =
 
 def run_history(hits: DataFrame, bin_width: int, gap_bins: int, points: int = HISTORY_POINTS) -> DataFrame:
     """The run in at most ``points`` steps: hits per board and the covered time of a step (a step cut by the
-    first or last hit covers less). Far-off bins are left out."""
+    first or last hit covers less). Far-off bins are left out; ``history_left_out`` counts their hits."""
     bins = history_bins(hits, bin_width, gap_bins)
     near = bins.filter(~F.col("far"))
     span = near.groupBy("run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
@@ -67,6 +67,12 @@ def run_history(hits: DataFrame, bin_width: int, gap_bins: int, points: int = HI
     return out.join(edges, "run").select("run", "board", "step", "n", F.greatest(cov, F.lit(0)).cast("long").alias("covered"))
 
 
+def history_left_out(hits: DataFrame, bin_width: int, gap_bins: int) -> DataFrame:
+    """Hits per (run, board) that ``run_history`` leaves out, 0 where it takes all."""
+    left = F.sum(F.when(F.col("far"), F.col("n")).otherwise(0)).alias("left_out")
+    return history_bins(hits, bin_width, gap_bins).groupBy("run", "board").agg(left)
+
+
 def mean_rates(hits: DataFrame, key: str, units_per_s: float) -> DataFrame:
     """Mean rate of each channel over its run's span."""
     span = hits.groupBy("run").agg(((F.max("ts_ps") - F.min("ts_ps")) / F.lit(units_per_s)).alias("_s"))

@@ -209,3 +209,13 @@ def test_whole_events_without_a_cap(spark):
     df = spark.range(300).select(F.lit(1).alias("ev"), F.col("id").alias("pos"), (F.col("id") * 7 % 300).alias("ts_ps"))
     r = E.capped_event_table(df, ["ev"], ["ts_ps"], ["ts_ps", "pos"]).first()
     assert r.multi == 300 and list(r.ts_ps) == list(range(300))
+
+
+def test_history_counts_what_it_leaves_out(spark):
+    from beamloom.operators import rates
+
+    near, far = [(1, b, t) for b in (0, 1) for t in range(5000)], [(1, 0, 10**9), (1, 0, 10**9 + 5)]
+    hits = spark.createDataFrame(near + far, "run long, board long, ts_ps long")
+    left = {(r.run, r.board): r.left_out for r in rates.history_left_out(hits, 100, 10).collect()}
+    assert left == {(1, 0): 2, (1, 1): 0}
+    assert rates.run_history(hits, 100, 10).groupBy().sum("n").first()[0] + sum(left.values()) == len(near + far)
