@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamloom.llm import bpe, chat, decontaminate, partenum, quality, sharding, tokens, topk, urlgraph, warc
-from beamloom.llm.sql import decontaminate_sql, sharding_sql, topk_sql, warc_sql
+from beamloom.llm import audit, bpe, chat, decontaminate, merkle, partenum, quality, sharding, tokens, topk, urlgraph, warc
+from beamloom.llm.sql import audit_sql, decontaminate_sql, merkle_sql, sharding_sql, topk_sql, warc_sql
 from beamloom.plans.adapters import read
 from beamloom.plans.catalogue import Catalogue
 from beamloom.session import cut, scratch_dir
@@ -106,3 +106,23 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.query("op7_decontaminate", decontaminate_sql())
 def benchmark_items_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "item_shingles", "shared")
+
+
+@C.query("op11_filter_audit", audit_sql())
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = audit.text_filters(F.col("text"))
+    return audit.audit(audit.masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), filters), "".join(filters) + "E")
+
+
+@C.query("op12_merkle", merkle_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    row = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    small = F.translate("text", audit.UPPER, audit.UPPER.lower())
+    tampered = F.when(changed, F.unhex(merkle.leaf_digest([F.col(c) for c in row[:-1]] + [small])))
+    leaves = docs.select("doc_id", "lang", merkle.leaf_digest([F.col(c) for c in row]).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(leaves, "lang", "doc_id", carried=["tampered"])
+    folded = merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
