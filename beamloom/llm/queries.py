@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamloom.llm import audit, bpe, chat, decontaminate, merkle, partenum, quality, sharding, tokens, topk, urlgraph, warc
+from beamloom.llm import audit, boilerplate, bpe, chat, decontaminate, merkle, partenum, quality, sharding, tokens, topk, urlgraph, warc
 from beamloom.llm.sql import audit_sql, decontaminate_sql, merkle_sql, sharding_sql, topk_sql, warc_sql
 from beamloom.plans.adapters import read
 from beamloom.plans.catalogue import Catalogue
@@ -126,3 +126,8 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("path"))
     out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@C.query("op13_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
