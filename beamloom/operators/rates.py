@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamloom.operators.events import anchored_events
-from beamloom.operators.ordering import plan_slices
+from beamloom.operators.scan import walk, whole
 
 # Fixed values of the run history: bin, largest number of points, gap and share that make a bin far off.
 RUN_BIN_S = 10
@@ -85,40 +84,143 @@ def triggers_at_flag(f: Column) -> Column:
     return F.when(f == 0, F.lit(0)).otherwise(1024 * (f + F.floor((f - 1) / 63))).cast("long")
 
 
+SUMS = ("ms", "counts", "flags", "counts_at_flag", "lost_flags", "lost_n_flags")
+
+
+def _trigger_number(f: int) -> int:
+    return 1024 * (f + (f - 1) // 63) if f else 0
+
+
+class _Window:
+    """Running sums of a channel and those at the flag where its open window began."""
+
+    def __init__(self):
+        self.flags = self.counts = self.ms = self.lost = self.lost_n = 0
+        self.mark: tuple[int, ...] | None = None
+
+    def take(self, at_least: int, ms, counts, flags, counts_at_flag, lost, lost_n) -> tuple | None:
+        self.flags += flags
+        self.ms += ms
+        self.lost += lost
+        self.lost_n += lost_n
+        at_flag = self.counts + (counts_at_flag or 0)
+        self.counts += counts
+        if not flags:
+            return None
+        mark = (_trigger_number(self.flags), at_flag, self.ms, self.lost_n, self.lost)
+        before = self.mark
+        if before is not None and mark[2] - before[2] < at_least:
+            return None
+        self.mark = mark
+        return None if before is None else tuple(x - y for x, y in zip(mark, before))
+
+
 def dead_time(intervals: DataFrame, key: str = "slot", at_least_ms: int = 1000) -> DataFrame:
     """Input rate, missed and lost share from flag to flag, per interval.
 
     ``intervals``: (run, key, interval, ms, counts, flags, counts_at_flag, lost_flags, lost_n_flags), already one
     row per channel and interval. A window runs from the newest flag of one interval with flags to the newest
     flag of the first later one at least ``at_least_ms`` on, where the next window begins; flags on the way let it
-    grow. Sums over it are differences of running sums.
+    grow.
     """
-    w = Window.partitionBy("run", key).orderBy("interval")
-    run = intervals.withColumns(
-        {
-            "_f": F.sum("flags").over(w),
-            "_c": F.sum("counts").over(w) - F.col("counts") + F.col("counts_at_flag"),
-            "_ms": F.sum("ms").over(w),
-            "_ln": F.sum("lost_n_flags").over(w),
-            "_lf": F.sum("lost_flags").over(w),
-        }
-    )
-    marks = run.filter(F.col("flags") > 0)
-    marks = marks.select("run", key, "interval", *[F.col(c).cast("long") for c in ("_f", "_c", "_ms", "_ln", "_lf")])
-    placed = anchored_events(marks, at_least_ms - 1, plan_slices(marks, ("run", key), "_ms", "interval"))
-    ends = placed.filter("_ms = ev_t0").groupBy("run", key, "ev_t0").agg(F.min_by(F.struct("interval", "_f", "_c", "_ms", "_ln", "_lf"), "interval").alias("_e")).select("run", key, "_e.*")
-    d = {c: F.col(c) - F.lag(c).over(w) for c in ("_c", "_ms", "_ln", "_lf")}
-    trig = triggers_at_flag(F.col("_f")) - triggers_at_flag(F.lag("_f").over(w))
-    x = ends.withColumns({"_trig": trig, **{f"d{c}": v for c, v in d.items()}}).filter(F.col("_trig").isNotNull())
-    lost = F.col("d_ln") * 1024.0
-    return x.select(
-        "run", key, "interval",
-        F.try_divide(F.col("_trig") * 1000.0, F.col("d_ms").cast("double")).alias("input_rate"),
-        F.try_divide(lost * 1000.0, F.col("d_ms").cast("double")).alias("lost_rate"),
-        F.greatest(F.lit(0.0), 1.0 - F.try_divide(F.col("d_c") + lost, F.col("_trig").cast("double"))).alias("missed"),
-        F.least(F.lit(1.0), F.try_divide(lost, F.col("_trig").cast("double"))).alias("lost"),
-        ((F.col("d_lf") > 0) | (F.col("d_ln") > 0)).alias("lost_seen"),
+    x = walk(whole(intervals, *SUMS), ("run", key), "interval", SUMS, _Window, lambda w, *v: w.take(at_least_ms, *v), "_trig long, d_c long, d_ms long, d_ln long, d_lf long")
+    return x.select("run", key, "interval", *_shares(F.col("_trig"), F.col("d_c"), F.col("d_ms"), F.col("d_ln"), F.col("d_lf")))
+
+
+def _shares(triggers: Column, counts: Column, ms: Column, lost_n: Column, lost_flags: Column) -> list[Column]:
+    lost = lost_n * 1024.0
+    return [
+        F.try_divide(triggers * 1000.0, ms.cast("double")).alias("input_rate"),
+        F.try_divide(lost * 1000.0, ms.cast("double")).alias("lost_rate"),
+        F.greatest(F.lit(0.0), 1.0 - F.try_divide(counts + lost, triggers.cast("double"))).alias("missed"),
+        F.least(F.lit(1.0), F.try_divide(lost, triggers.cast("double"))).alias("lost"),
+        ((lost_flags > 0) | (lost_n > 0)).alias("lost_seen"),
+    ]
+
+
+# Fixed values of the dead-time states: events without a flag that mean the channel writes none, and the time without one that means a low rate.
+BAD_AFTER = 5 * 1024
+LOW_AFTER_MS = 60_000
+
+
+class _Channel:
+    """What a channel shows, refresh by refresh: the open window, the last complete one, and the state."""
+
+    def __init__(self):
+        self.total = self.since = self.quiet_ms = self.begin = self.counts = self.lost = self.lost_n = self.ms = 0
+        self.state = "wait"
+        self.shown: tuple = (None, None, None, None, None)
+        self.lost_seen = False
+
+    def take(self, at_least: int, bad_after: int, low_after: int, ms, counts, flags, counts_at_flag, lost, lost_n, other_step) -> tuple:
+        if ms <= 0:
+            self.__init__()  # the first refresh after a start
+            ms = 0
+        closed = False
+        if other_step:
+            self.__init__()
+            self.state = "other_step"
+            return (self.state, closed, *self.shown, False)
+        self.lost, self.lost_n, self.ms = self.lost + lost, self.lost_n + lost_n, self.ms + ms
+        if flags:
+            upto = self.since + counts_at_flag
+            self.total += flags
+            if self.total == flags:  # the first ones: the window opens at the newest
+                self._open()
+            else:
+                self.counts += upto
+            self.since, self.quiet_ms = counts - counts_at_flag, 0
+        else:
+            self.since += counts
+            self.quiet_ms += ms
+        if self.since >= bad_after:
+            self.state = "bad_flags"
+        elif self.total > self.begin and self.ms >= at_least:
+            triggers = _trigger_number(self.total) - _trigger_number(self.begin)
+            self.shown = (triggers, self.counts, self.ms, self.lost_n, self.lost)
+            self.lost_seen = self.lost > 0 or self.lost_n > 0
+            self.state, closed = "valid", True
+            self._open()
+        elif self.quiet_ms >= low_after:
+            self.lost_seen = self.lost > 0 or self.lost_n > 0
+            self.state = "low"
+        return (self.state, closed, *self.shown, self.lost_seen)
+
+    def _open(self) -> None:
+        self.begin = self.total
+        self.counts = self.ms = self.lost = self.lost_n = 0
+
+
+def dead_time_states(intervals: DataFrame, key: str = "slot", at_least_ms: int = 1000, bad_after: int = BAD_AFTER, low_after_ms: int = LOW_AFTER_MS) -> DataFrame:
+    """What every refresh of a channel shows: its state and the values of its last complete window.
+
+    ``intervals`` as for ``dead_time``, one row per channel and refresh, optionally with ``other_step`` (flags come every 128 or 8,192
+    triggers). A state stays until another takes its place: ``wait`` (no window yet), ``valid``, ``low`` (no flag for ``low_after_ms``),
+    ``bad_flags`` (``bad_after`` events without a flag), ``other_step``. A window closes at the first refresh, with flags or not, that
+    finds a newer flag and ``at_least_ms`` gone. A refresh of no length (``ms`` <= 0) begins anew.
+    """
+    rows = whole(intervals, *SUMS).withColumn("other_step", F.col("other_step") if "other_step" in intervals.columns else F.lit(False))
+    rows = rows.fillna(0, ["counts_at_flag"])
+    gives = "state string, closed boolean, _trig long, _c long, _ms long, _ln long, _lf long, lost_seen boolean"
+    x = walk(rows, ("run", key), "interval", (*SUMS, "other_step"), _Channel, lambda w, *v: w.take(at_least_ms, bad_after, low_after_ms, *v), gives)
+    shares = _shares(*[F.col(c) for c in ("_trig", "_c", "_ms", "_ln", "_lf")])[:4]
+    shares = [F.when(F.col("_trig").isNotNull(), c).alias(n) for c, n in zip(shares, ("input_rate", "lost_rate", "missed", "lost"))]
+    return x.select("run", key, "interval", "state", "closed", *shares, "lost_seen")
+
+
+def board_states(channels: DataFrame, key: str = "board") -> DataFrame:
+    """A board's refresh: ``valid`` with summed input rate, input-weighted missed share and lost share over its valid channels, else
+    ``wait`` or ``low``; whether losses were seen; and the channels whose flags are stuck."""
+    valid, rate = F.col("state") == "valid", F.when(F.col("state") == "valid", F.col("input_rate"))
+    g = channels.groupBy("run", key, "interval").agg(
+        F.when(F.bool_or(valid), F.lit("valid")).when(F.bool_or(F.col("state") == "wait"), F.lit("wait")).otherwise(F.lit("low")).alias("state"),
+        F.sum(rate).alias("input_rate"),
+        F.try_divide(F.sum(rate * F.col("missed")), F.sum(rate)).alias("missed"),
+        F.when(F.bool_or(valid), F.least(F.lit(1.0), F.try_divide(F.sum(F.when(valid, F.col("lost_rate"))), F.sum(rate)))).alias("lost"),
+        F.bool_or(F.col("state").isin("valid", "low") & F.col("lost_seen")).alias("lost_seen"),
+        F.count_if(F.col("state") == "bad_flags").alias("stuck"),
     )
+    return g
 
 
 def board_dead_time(channels: DataFrame, key: str = "board") -> DataFrame:

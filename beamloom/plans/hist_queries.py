@@ -147,18 +147,21 @@ def _dead_sql(ms: int) -> str:
 DEAD_SQL = _dead_sql(86_400_000)
 
 
-def _dead_channels(spark, sf, ms=86_400_000):
+def _dead_intervals(spark, sf, ms=86_400_000):
     h = as_hits(spark, sf).withColumn("interval", F.expr(f"ts_ps div {DAY}"))
     flag = H.has_flag(F.col("flags"), H.FLAG_1024_COUNTED)
     newest = h.filter(flag).groupBy("run", "slot", "interval").agg(F.max("ts_ps").alias("tf"))
-    iv = h.join(newest, ["run", "slot", "interval"], "left").groupBy("run", "slot", "board", "interval").agg(
+    return h.join(newest, ["run", "slot", "interval"], "left").groupBy("run", "slot", "board", "interval").agg(
         F.count(F.lit(1)).alias("counts"),
         F.count_if(flag).alias("flags"),
         F.count_if(F.col("ts_ps") <= F.col("tf")).alias("counts_at_flag"),
         F.count_if(H.has_flag(F.col("flags"), H.FLAG_TRIGGER_LOST)).alias("lost_flags"),
         F.count_if(H.has_flag(F.col("flags"), H.FLAG_LOST_COUNTED)).alias("lost_n_flags"),
     ).withColumn("ms", F.lit(ms).cast("long"))
-    return R.dead_time(iv)
+
+
+def _dead_channels(spark, sf, ms=86_400_000):
+    return R.dead_time(_dead_intervals(spark, sf, ms))
 
 
 @C.query(
@@ -190,6 +193,62 @@ def dead_time_boards(spark, sf):
     return d.withColumns({c: F.round(c, 6) for c in ("input_rate", "missed", "lost")})
 
 
+# Thresholds that the few events of a day reach; the walk is said as a recursion over the refreshes of a channel.
+STATE_MS, STATE_BAD, STATE_LOW = 400, 6, 800
+_STATES_SQL = f"""{HITS_SQL}, f AS (SELECT run, slot, board, ts_ps // {DAY} AS interval, max(CASE WHEN flags & 8 <> 0 THEN ts_ps END) AS tf,
+      count(*) AS counts, count(*) FILTER (flags & 8 <> 0) AS flags, count(*) FILTER (flags & 32 <> 0) AS lf, count(*) FILTER (flags & 4 <> 0) AS ln FROM hits GROUP BY ALL),
+    c AS (SELECT f.run, f.slot, f.interval, count(*) AS caf FROM f JOIN hits h ON h.run = f.run AND h.slot = f.slot AND h.ts_ps // {DAY} = f.interval AND h.ts_ps <= f.tf GROUP BY ALL),
+    r AS (SELECT f.run, f.slot, f.board, f.interval, counts, flags, lf, ln, coalesce(caf, 0) AS caf, f.slot % 16 = 5 AS other, row_number() OVER (PARTITION BY f.run, f.slot ORDER BY f.interval) AS i
+      FROM f LEFT JOIN c USING (run, slot, interval)),
+    w AS (SELECT run, slot, board, interval, CAST(0 AS BIGINT) AS i, 'wait' AS state, false AS closed, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS quiet, CAST(0 AS BIGINT) AS opened,
+        CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ms, CAST(0 AS BIGINT) AS lf, CAST(0 AS BIGINT) AS ln, CAST(NULL AS BIGINT) AS trig, CAST(NULL AS BIGINT) AS sn, CAST(NULL AS BIGINT) AS sms, CAST(NULL AS BIGINT) AS sln, false AS seen
+      FROM r WHERE i = 1
+      UNION ALL
+      SELECT run, slot, board, interval, i,
+        CASE WHEN other THEN 'other_step' WHEN since2 >= {STATE_BAD} THEN 'bad_flags' WHEN fire THEN 'valid' WHEN quiet2 >= {STATE_LOW} THEN 'low' ELSE state END,
+        fire, CASE WHEN other THEN 0 ELSE total2 END, CASE WHEN other THEN 0 ELSE since2 END, CASE WHEN other THEN 0 ELSE quiet2 END,
+        CASE WHEN other THEN 0 WHEN fire THEN total2 ELSE opened2 END, CASE WHEN other OR fire THEN 0 ELSE n2 END, CASE WHEN other OR fire THEN 0 ELSE ms2 END,
+        CASE WHEN other OR fire THEN 0 ELSE lf2 END, CASE WHEN other OR fire THEN 0 ELSE ln2 END,
+        CASE WHEN other THEN NULL WHEN fire THEN 1024 * (total2 + (total2 - 1) // 63) - CASE WHEN opened2 = 0 THEN 0 ELSE 1024 * (opened2 + (opened2 - 1) // 63) END ELSE trig END,
+        CASE WHEN other THEN NULL WHEN fire THEN n2 ELSE sn END, CASE WHEN other THEN NULL WHEN fire THEN ms2 ELSE sms END, CASE WHEN other THEN NULL WHEN fire THEN ln2 ELSE sln END,
+        CASE WHEN other THEN false WHEN since2 < {STATE_BAD} AND (fire OR quiet2 >= {STATE_LOW}) THEN lf2 > 0 OR ln2 > 0 ELSE seen END
+      FROM (SELECT *, NOT other AND since2 < {STATE_BAD} AND total2 > opened2 AND ms2 >= 1000 AS fire FROM (
+        SELECT r.run, r.slot, r.board, r.interval, r.i, r.other, w.state, w.trig, w.sn, w.sms, w.sln, w.seen, w.total + r.flags AS total2,
+          CASE WHEN r.flags > 0 THEN r.counts - r.caf ELSE w.since + r.counts END AS since2, CASE WHEN r.flags > 0 THEN 0 ELSE w.quiet + {STATE_MS} END AS quiet2,
+          CASE WHEN r.flags > 0 AND w.total = 0 THEN r.flags ELSE w.opened END AS opened2,
+          CASE WHEN r.flags > 0 AND w.total = 0 THEN 0 WHEN r.flags > 0 THEN w.n + w.since + r.caf ELSE w.n END AS n2,
+          CASE WHEN r.flags > 0 AND w.total = 0 THEN 0 ELSE w.ms + {STATE_MS} END AS ms2,
+          CASE WHEN r.flags > 0 AND w.total = 0 THEN 0 ELSE w.lf + r.lf END AS lf2, CASE WHEN r.flags > 0 AND w.total = 0 THEN 0 ELSE w.ln + r.ln END AS ln2
+        FROM w JOIN r ON r.run = w.run AND r.slot = w.slot AND r.i = w.i + 1))),
+    x AS (SELECT run, slot, board, interval, state, closed, trig * 1000.0::DOUBLE / sms AS input_rate, sln * 1024.0::DOUBLE * 1000 / sms AS lost_rate,
+      CASE WHEN trig IS NOT NULL THEN greatest(0, 1 - (sn + sln * 1024.0::DOUBLE) / trig) END AS missed, CASE WHEN trig IS NOT NULL THEN least(1, sln * 1024.0::DOUBLE / trig) END AS lost, seen AS lost_seen FROM w WHERE i > 0)"""
+
+
+def _states(spark, sf):
+    rows = _dead_intervals(spark, sf, STATE_MS).withColumn("other_step", F.col("slot") % 16 == 5)
+    return R.dead_time_states(rows, bad_after=STATE_BAD, low_after_ms=STATE_LOW)
+
+
+@C.query(
+    "dead_time_states",
+    f"WITH RECURSIVE {_STATES_SQL} SELECT run, slot, interval, state, closed, round(input_rate, 6) AS input_rate, round(lost_rate, 6) AS lost_rate, round(missed, 6) AS missed, round(lost, 6) AS lost, lost_seen FROM x",
+)
+def dead_time_states(spark, sf):
+    return _states(spark, sf).withColumns({c: F.round(c, 6) for c in ("input_rate", "lost_rate", "missed", "lost")})
+
+
+@C.query(
+    "dead_time_board_states",
+    f"""WITH RECURSIVE {_STATES_SQL} SELECT run, board, interval, CASE WHEN bool_or(state = 'valid') THEN 'valid' WHEN bool_or(state = 'wait') THEN 'wait' ELSE 'low' END AS state,
+    round(sum(input_rate) FILTER (state = 'valid'), 6) AS input_rate, round(sum(input_rate * missed) FILTER (state = 'valid') / sum(input_rate) FILTER (state = 'valid'), 6) AS missed,
+    round(CASE WHEN bool_or(state = 'valid') THEN least(1, sum(lost_rate) FILTER (state = 'valid') / sum(input_rate) FILTER (state = 'valid')) END, 6) AS lost,
+    bool_or(state IN ('valid', 'low') AND lost_seen) AS lost_seen, count(*) FILTER (state = 'bad_flags') AS stuck FROM x GROUP BY run, board, interval""",
+)
+def dead_time_board_states(spark, sf):
+    b = R.board_states(_states(spark, sf).withColumn("board", F.expr("cast(slot div 16 as int)")))
+    return b.withColumns({c: F.round(c, 6) for c in ("input_rate", "missed", "lost")})
+
+
 @C.query(
     "input_estimate",
     f"""WITH {HITS_SQL} SELECT serial, count(*) AS n, 1024 * count(*) FILTER (flags & 8 <> 0) AS input_at_least,
