@@ -23,9 +23,13 @@ from pyspark.sql import types as T
 
 from beamloom.llm.shingles import SPACE, chunks, pieces, word_hashes
 
-#: Training rows of each label, and the longest text that is a training row (bytes): the bounds of the sample.
+#: Training rows of each label, the longest text that is a training row (bytes), and lines of all rows of a label: the
+#: bounds of the sample. A line's features take about 1,000 bytes.
 TRAIN_ROWS = 2000
 TRAIN_BYTES = 1 << 16
+TRAIN_LINES = 150_000
+#: Bytes of text whose lines are counted at once.
+BLOCK_BYTES = 1 << 17
 
 #: Kinds of bytes: space, lower case, upper case, digit, beyond ASCII, sentence marks, !, |, other marks.
 KIND = np.full(256, 8)
@@ -81,34 +85,73 @@ def line_counts(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     return counts, mark, np.searchsorted(edges, starts, side="right") - 1
 
 
-def lines_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def line_blocks(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """A text in blocks of whole lines, of about ``size`` bytes; a longer line is a block of its own."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        if end < len(data):
+            breaks = np.flatnonzero(data[at:end] == 0x0A)
+            if len(breaks):
+                end = at + int(breaks[-1]) + 1
+            else:
+                while end < len(data):
+                    breaks = np.flatnonzero(data[end : end + size] == 0x0A)
+                    end = end + int(breaks[0]) + 1 if len(breaks) else min(end + size, len(data))
+                    if len(breaks):
+                        break
+        yield at, end
+        at = end
+
+
+def long_line_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and hash of one line, which is looked at piece by piece; only its words' hashes are held at once."""
+    counts = np.zeros((1, COUNTS))
+    for a, b in pieces(data):
+        counts += line_counts(data[a:b], np.array([0, b - a]))[0].sum(axis=0)
+    words, _ = word_hashes(data, np.array([0, len(data)]))
+    counts[0, -2], counts[0, -1] = (words[1:] == words[:-1]).sum(), (words[2:] == words[:-2]).sum()
+    return counts, words.sum(keepdims=True, dtype=np.uint64)
+
+
+def long_text_lines(data: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts and hashes of the lines with a word of one text, block by block; the same lines whatever the size of blocks."""
+    for a, b in line_blocks(data, size):
+        if b - a > size:
+            c, m = long_line_counts(data[a:b])
+        else:
+            c, m, _ = line_counts(data[a:b], np.array([0, b - a]))
+        full = c[:, 1] > 0
+        if full.any():
+            yield c[full], m[full]
+
+
+def lines_of(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """For runs of texts: counts, hash and text (numbered from 0) of each line with a word, and the number of texts."""
-    for _, data, edges in chunks(texts):
-        if len(edges) == 2:  # one text, maybe a long one: by pieces, whose first line goes on with the last one before
-            counts, marks = [np.zeros((1, COUNTS))], [np.zeros(1, np.uint64)]
-            for a, b in pieces(data):
-                c, m, _ = line_counts(data[a:b], np.array([0, b - a]))
-                if data[a] != 0x0A or len(c) == 1 or a == 0:
-                    counts[-1][-1] += c[0]
-                    marks[-1][-1] += m[0]
-                    c, m = c[1:], m[1:]
-                if len(c):
-                    counts.append(c)
-                    marks.append(m)
-            c, m = np.concatenate(counts), np.concatenate(marks)
-            text = np.zeros(len(c), np.int64)
+    for _, data, edges in chunks(texts, size):
+        if len(edges) == 2:
+            found = list(long_text_lines(data, size)) or [(np.zeros((0, COUNTS)), np.zeros(0, np.uint64))]
+            c, m = (np.concatenate(x) for x in zip(*found))
+            yield c, m, np.zeros(len(c), np.int64), 1
         else:
             c, m, text = line_counts(data, edges)
-        full = c[:, 1] > 0
-        yield c[full], m[full], text[full], len(edges) - 1
+            full = c[:, 1] > 0
+            yield c[full], m[full], text[full], len(edges) - 1
 
 
-def features(counts: np.ndarray, marks: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Feature matrix of lines in reading order."""
-    n = len(counts)
+def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A line's own features but its repeats, and those that its neighbours see."""
     size, words = counts[:, :1], np.maximum(1, counts[:, 1:2])
     kinds = counts[:, 2 : 2 + KINDS] / size
     repeats = counts[:, -3:] / words
+    own = np.concatenate([kinds, counts[:, 2 + KINDS : -3] / words, repeats, np.log1p(size) / 10, np.log1p(words) / 8], axis=1)
+    return own, np.concatenate([kinds, repeats, np.ones((len(counts), 1))], axis=1)
+
+
+def features(counts: np.ndarray, marks: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Feature matrix of lines in reading order: 1, a line's own, whether it is repeated, the line before, the line after."""
+    n = len(counts)
+    own, near = _shares(counts)
     order = np.lexsort((marks, text))
     same = (marks[order][1:] == marks[order][:-1]) & (text[order][1:] == text[order][:-1])
     again = np.zeros(n)
@@ -116,8 +159,7 @@ def features(counts: np.ndarray, marks: np.ndarray, text: np.ndarray) -> np.ndar
     again[order[:-1]] = np.maximum(again[order[:-1]], same)
     x = np.zeros((n, FEATURES))
     x[:, 0] = 1
-    x[:, 1 : 1 + OWN] = np.concatenate([kinds, counts[:, 2 + KINDS : -3] / words, repeats, np.log1p(size) / 10, np.log1p(words) / 8, again[:, None]], axis=1)
-    near = np.concatenate([kinds, repeats, np.ones((n, 1))], axis=1)
+    x[:, 1 : 1 + OWN] = np.concatenate([own, again[:, None]], axis=1)
     joined = text[1:] == text[:-1]
     at = 1 + OWN
     x[1:, at : at + NEAR + 1] = near[:-1] * joined[:, None]
@@ -125,6 +167,69 @@ def features(counts: np.ndarray, marks: np.ndarray, text: np.ndarray) -> np.ndar
     return x
 
 
+def long_text_score(data: np.ndarray, size: int, weights: np.ndarray, trans: np.ndarray) -> float | None:
+    """The score of one text, of which each line is only a score, a length and a hash (20 bytes) beyond its block.
+
+    The features are linear, so what a line adds to its neighbours' scores is added as it comes; the chain is a walk
+    forward that keeps one number a line, and one back.
+    """
+    at = 1 + OWN
+    u, marks, sizes = [], [], []
+    carried = 0.0  # what the line before adds
+    for counts, m in long_text_lines(data, size):
+        own, near = _shares(counts)
+        score = weights[0] + own @ weights[1:OWN]
+        ahead, back = near @ weights[at : at + NEAR + 1], near @ weights[at + NEAR + 1 :]
+        score[1:] += ahead[:-1]
+        score[:-1] += back[1:]
+        if u:
+            score[0] += carried
+            u[-1][-1] += back[0]
+        carried = ahead[-1]
+        u.append(score)
+        marks.append(m)
+        sizes.append(counts[:, 0].astype(np.int32 if len(data) < 1 << 31 else np.int64))
+    if not u:
+        return None
+    total, lengths = np.concatenate(u), np.concatenate(sizes)
+    mark = np.concatenate(marks)
+    del u, marks, sizes
+    ordered = np.sort(mark)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if len(twice):
+        for lo in range(0, len(mark), 1 << 18):
+            part = mark[lo : lo + (1 << 18)]
+            total[lo : lo + (1 << 18)] += weights[OWN] * (twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part)
+    return _walk(total, lengths, trans)
+
+
+def _walk(u: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> float:
+    """Mean probability of label 1 over one chain, weighted by lengths; log-odds only, in blocks of Python numbers."""
+    from math import exp, log
+
+    (e00, e01), (e10, e11) = np.exp(trans - trans.max()).tolist()
+    block, n = 1 << 18, len(u)
+    ahead = np.empty(n)
+    odds = None
+    for lo in range(0, n, block):
+        got = []
+        for x in u[lo : lo + block].tolist():
+            if odds is not None:
+                e = exp(min(max(odds, -500.0), 500.0))
+                x += log((e01 + e11 * e) / (e00 + e10 * e))
+            odds = x
+            got.append(x)
+        ahead[lo : lo + block] = got
+    behind, mass, whole = 0.0, 0.0, float(lengths.sum(dtype=np.int64))
+    for lo in range((n - 1) // block * block, -1, -block):
+        for x, a, size in zip(u[lo : lo + block].tolist()[::-1], ahead[lo : lo + block].tolist()[::-1], lengths[lo : lo + block].tolist()[::-1]):
+            mass += size / (1.0 + exp(min(max(-(a + behind), -500.0), 500.0)))
+            e = exp(min(max(behind + x, -500.0), 500.0))
+            behind = log((e10 + e11 * e) / (e00 + e01 * e))
+    return mass / whole
+
+
 def marginals(u: np.ndarray, trans: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probability of label 1 of each line, and of each pair of labels of a line (row) and the next one of its text.
 
@@ -166,16 +271,24 @@ class Model:
     trans: np.ndarray
     prior: float
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def scores(self, texts: pa.Array, size: int = BLOCK_BYTES) -> np.ndarray:
         out = []
-        for counts, marks, text, n in lines_of(texts):
+        for _, data, edges in chunks(texts, size):
+            n = len(edges) - 1
             score = np.full(n, self.prior)
+            out.append(score)
+            if n == 1 and len(data) > size:
+                got = long_text_score(data, size, self.weights, self.trans)
+                score[0] = self.prior if got is None else got
+                continue
+            counts, marks, text = line_counts(data, edges)
+            full = counts[:, 1] > 0
+            counts, marks, text = counts[full], marks[full], text[full]
             if len(text):
                 p, _ = marginals(features(counts, marks, text) @ self.weights, self.trans, text)
-                size = np.bincount(text, counts[:, 0], n)
+                whole = np.bincount(text, counts[:, 0], n)
                 share = np.bincount(text, counts[:, 0] * p, n)
-                score[size > 0] = share[size > 0] / size[size > 0]
-            out.append(score)
+                score[whole > 0] = share[whole > 0] / whole[whole > 0]
         return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 
 
@@ -185,7 +298,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), float(y.mean()) if len(y) else 0.5)
     parts, base = [], 0
-    for counts, marks, text, n in lines_of(pa.array(texts, pa.large_string())):
+    for counts, marks, text, n in lines_of(pa.array(texts, pa.large_string()), BLOCK_BYTES):
         parts.append((features(counts, marks, text), text + base))
         base += n
     x, text = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -209,18 +322,26 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Model:
-    """A model of at most ``rows`` training rows of each label, those with the smallest hashes of their keys.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, lines: int = TRAIN_LINES) -> Model:
+    """A model of at most ``rows`` training rows of each label, those with the smallest hashes of their keys that have ``lines`` lines together.
 
-    The sample is bounded by 2 * rows * longest bytes, whatever the tables' sizes; it alone comes to the driver.
+    The sample is bounded by 2 * rows * longest bytes and 2 * lines lines, whatever the tables' sizes; it alone comes to the driver.
     """
     told = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     told = told.filter(~held_out(F.col("k"))).groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z")
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
-    short = texts.filter(F.octet_length("text") <= longest).select("k")
-    usable = told.join(short, "k", "left_semi")
-    chosen = usable.filter("y = 0").orderBy(F.xxhash64("k"), "k").limit(rows).unionByName(usable.filter("y = 1").orderBy(F.xxhash64("k"), "k").limit(rows))
-    sample = texts.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen.select("k", "y")), "k").groupBy("k").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    counted = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("lines")
+    short = texts.filter(F.octet_length("text") <= longest).select("k", counted).groupBy("k").agg(F.max("lines").alias("lines"))
+    usable = told.join(short, "k").select("k", "lines", "y", F.xxhash64("k").alias("h"))
+    chosen = []
+    for y in (0, 1):
+        left = lines
+        for r in usable.filter(F.col("y") == y).orderBy("h", "k").limit(rows).collect():
+            if r.lines <= left:
+                left -= r.lines
+                chosen.append((r.k, y))
+    chosen = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", texts.schema["k"].dataType), T.StructField("y", T.IntegerType())]))
+    sample = texts.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     got = sorted(sample.select(F.xxhash64("k").alias("h"), "k", "text", "y").collect())
     return fit([r.text for r in got], [r.y for r in got])
 

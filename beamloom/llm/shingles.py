@@ -105,8 +105,9 @@ def shingles(words: np.ndarray, text: np.ndarray, n_texts: int, n: int = 5) -> t
     return hashes, owner
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about CHUNK_BYTES: number of the first one, bytes and edges. A null is an empty text."""
+def chunks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``size`` bytes (CHUNK_BYTES): number of the first one, bytes and edges. A null is an empty text."""
+    size = size or CHUNK_BYTES
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
         texts = texts.fill_null("")
@@ -116,7 +117,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(edges, edges[i] + CHUNK_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + size, side="right")) - 1)
         yield i, data[edges[i] : edges[j]], edges[i : j + 1] - edges[i]
         i = j
 

@@ -32,14 +32,33 @@ def test_forward_backward_is_the_sum_over_all_labelings():
             assert np.allclose(pairs[inner.index(at[k])], two[k] / total)
 
 
-def test_lines_of_long_texts_do_not_depend_on_the_pieces(monkeypatch):
+def test_scores_do_not_depend_on_the_size_of_blocks(monkeypatch):
     from beamloom.llm import shingles
 
-    texts = pa.array([t for _, t in documents() if t and "x" * 100 not in t and "日" not in t and "éé" not in t] + ["a b\nc d\n\ne!! e!! e!!\n"], pa.string())
-    model = quality.Model(np.random.default_rng(1).normal(size=quality.FEATURES) / 10, np.zeros((2, 2)), 0.5)
-    whole = model.scores(texts)
-    monkeypatch.setattr(shingles, "CHUNK_BYTES", 4096)
-    assert np.abs(model.scores(texts) - whole).max() < 0.01
+    indented = "\n".join("    " * (i % 4) + f"word{i} word{i} more words!! of line {i}\t" for i in range(16))
+    awkward = ["a b\nc d\n\ne!! e!! e!!\n", indented, "\n\n  \n" + indented + "\n \n", "x y\n" * 300, "one line of words words words and no end " * 200, " \n\t\n"]
+    texts = pa.array([t for _, t in documents() if t] + awkward, pa.string())
+    r = np.random.default_rng(1)
+    model = quality.Model(r.normal(size=quality.FEATURES) / 4, r.normal(size=(2, 2)), 0.5)
+    whole = model.scores(texts, 1 << 24)
+    alone = np.concatenate([model.scores(texts[i : i + 1], 1 << 24) for i in range(len(texts))])
+    assert np.abs(alone - whole).max() < 1e-9
+    for size in (9, 64, 1000, 1 << 15):
+        monkeypatch.setattr(shingles, "CHUNK_BYTES", max(8, size // 2))
+        assert np.abs(model.scores(texts, size) - whole).max() < 1e-9, size
+
+
+def test_sample_is_bounded_in_lines(spark):
+    docs = spark.createDataFrame([(i, "a line\n" * (i % 7 + 1)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda texts, y: seen.append((texts, y)) or fit(texts, y)
+    try:
+        quality.train(docs, labels, lines=20)
+    finally:
+        quality.fit = fit
+    texts, y = seen[0]
+    assert {0, 1} == set(y) and all(10 < sum(t.count("\n") + 1 for t, v in zip(texts, y) if v == k) <= 20 for k in (0, 1))
 
 
 def test_awkward_rows_get_scores(spark):
