@@ -1,18 +1,19 @@
 """Slow control: moving averages, changes, limit rules, worst levels.
 
-Moving sums come from running sums: a reading enters a window at its time and leaves it at a later one, so each
-window costs two more rows per reading instead of a rescan of the window. The running sums are cut into time
-slices, so one busy input is many tasks.
+An input's time is cut into slices; a slice takes the readings that its frames reach along from its neighbours (its halo),
+so one busy input is many tasks and no sum is carried from slice to slice. In a slice a frame's sum is the difference
+of two sums from the slice's begin, which grow with the row: built-in RANGE frames, and nothing is summed twice.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamloom.operators.ordering import Ordered, plan_slices
+from beamloom.session import cut
 
 # Order of levels, levels that are a matter of safety, an open thermocouple, intervals
 # (label, interval s, averaging s), averaging of the change rule.
@@ -22,32 +23,37 @@ TC_OPEN = 3276.0
 INTERVALS = (("10s", 10, 4), ("1m", 60, 12), ("10m", 600, 60))
 CHANGE_AVG_S = 60
 EXACT = "decimal(38,9)"
+#: A slice is so many times as long as the longest reach of its frames; a slice's halo is that part of its rows.
+SLICE_REACHES = 16
 
 
 def rank_of(level: Column) -> Column:
     return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in RANK.items()])
 
 
-def moving_means(readings: DataFrame, frames: dict[str, tuple[int, int]], key: str = "input", t: str = "t", v: str = "value") -> DataFrame:
+def moving_means(readings: DataFrame, frames: dict[str, tuple[int, int]], key: str = "input", t: str = "t", v: str = "value", slice_reaches: int = SLICE_REACHES) -> DataFrame:
     """Adds a column per frame: the mean of the readings with now - hi < t' <= now - lo, frame = (lo, hi);
     a frame (lo, hi) with negative numbers looks forward. NULL without a reading in it."""
-    val = F.col(v).cast(EXACT)
-    parts = []
-    for i, (lo, hi) in enumerate(frames.values()):
-        for at, sign in ((lo, 1), (hi, -1)):
-            parts.append(F.struct((F.col(t) + at).alias("_t"), F.lit(i).alias("_f"), (val * sign).cast(EXACT).alias("_v"), F.lit(sign).alias("_c")))
-    deltas = readings.filter(F.col(v).isNotNull()).select(key, F.explode(F.array(*parts)).alias("_d")).select(key, "_d.*", F.lit(0).cast("long").alias("_q"))
-    asks = readings.withColumns({"_t": F.col(t), "_f": F.lit(-1), "_v": F.lit(None).cast(EXACT), "_c": F.lit(0), "_q": F.lit(1).cast("long")})
-    both = deltas.unionByName(asks, allowMissingColumns=True)
-    # deltas at the time of a question come first, so both ends of a frame are "up to and with"
-    plan = replace(plan_slices(readings, (key,), t, t), ts="_t", tie="_q")
-    o = Ordered(both, plan)
-    sums = {f"_s{i}": F.when(F.col("_f") == i, F.col("_v")).otherwise(F.lit(0).cast(EXACT)) for i in range(len(frames))}
-    counts = {f"_n{i}": F.when(F.col("_f") == i, F.col("_c")).otherwise(0).cast("long") for i in range(len(frames))}
-    o.running_sums({**sums, **counts})
-    out = o.done().filter("_q = 1")
-    means = [F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}").cast("double") / F.col(f"_n{i}")).alias(n) for i, n in enumerate(frames)]
-    return out.select(*readings.columns, *means)
+    back, ahead = (max(0, *x) for x in zip(*[(hi, -lo) for lo, hi in frames.values()]))
+    width = max(1, slice_reaches * max(back, ahead))
+    place = F.pmod(F.col(t), F.lit(width))
+    own = ((F.col(t) - place) / width).cast("long")
+    slices = [F.struct(own.alias("_slice"), F.lit(True).alias("_own"))]
+    for reached, to in ((place >= width - back, own + 1), (place < ahead, own - 1)):
+        slices.append(F.when(reached & F.col(v).isNotNull(), F.struct(to.alias("_slice"), F.lit(False).alias("_own"))))
+    laid = readings.withColumn("_v", F.col(v).cast(EXACT)).withColumn("_s", F.explode(F.filter(F.array(*slices), lambda s: s.isNotNull())))
+    w = Window.partitionBy(key, "_s._slice").orderBy(t)
+    ends = sorted({e for f in frames.values() for e in f})
+    sums = {f"_e{i}": F.sum("_v").over(w.rangeBetween(Window.unboundedPreceding, -e)) for i, e in enumerate(ends)}
+    counts = {f"_c{i}": F.count("_v").over(w.rangeBetween(Window.unboundedPreceding, -e)) for i, e in enumerate(ends)}
+    x = laid.select("*", *[c.alias(n) for n, c in {**sums, **counts}.items()]).filter("_s._own")
+    means = []
+    for name, (lo, hi) in frames.items():
+        i, j = ends.index(lo), ends.index(hi)
+        n, zero = F.col(f"_c{i}") - F.col(f"_c{j}"), F.lit(0).cast(EXACT)
+        total = F.coalesce(f"_e{i}", zero) - F.coalesce(f"_e{j}", zero)
+        means.append(F.when(n > 0, total.cast("double") / n).alias(name))
+    return x.select(*readings.columns, *means)
 
 
 def changes(readings: DataFrame, unit: int = 1000, key: str = "input", t: str = "t", v: str = "value") -> DataFrame:
@@ -65,7 +71,8 @@ def change_over(readings: DataFrame, within_s: int, unit: int = 1000, key: str =
     or as far back as the history (or the rule's mode, ``since``) goes."""
     avg = CHANGE_AVG_S * unit
     r = readings.filter(F.col(v).isNotNull())
-    m = moving_means(r, {"_recent": (0, avg), "_ahead": (-avg, 1)}, key, t, v)
+    # read three times below: written once
+    m = cut(moving_means(r, {"_recent": (0, avg), "_ahead": (-avg, 1)}, key, t, v), "moving-means")
     start = F.col(t) - within_s * unit
     if since:
         start = F.greatest(start, F.coalesce(F.col(since), start))
@@ -86,33 +93,67 @@ def change_over(readings: DataFrame, within_s: int, unit: int = 1000, key: str =
     )
 
 
+def rule_changes(readings: DataFrame, rules: DataFrame, unit: int = 1000, key: str = "input", t: str = "t", v: str = "value", within_s: int = 600) -> DataFrame:
+    """Adds ``changes``: for each change rule of the reading's input a map entry rule -> (change, span_s, within_s), each over its
+    own span and, where the rule has a ``since`` (its mode began), over no reading before that.
+
+    Rules are few; those with the same span and begin are computed at once, over the readings of their inputs only.
+    """
+    r = rules.filter("op = 'change'").select("rule", key, _or(rules, "within_s", "int", within_s).alias("w"), _or(rules, "since", "long", None).alias("s"))
+    parts = None
+    for span in r.select("w", "s").distinct().collect():
+        mine = r.filter((F.col("w") == span.w) & F.col("s").eqNullSafe(F.lit(span.s))).select(key, "rule")
+        own = readings.select(key, t, v).join(mine.select(key).distinct(), key, "left_semi").withColumn("_since", F.lit(span.s).cast("long"))
+        c = change_over(own, span.w, unit, key, t, v, since="_since").select(key, t, "change", "span_s").dropDuplicates([key, t])
+        c = c.join(mine, key).select(key, t, "rule", F.struct("change", "span_s", F.lit(float(span.w)).alias("within_s")).alias("c"))
+        parts = c if parts is None else parts.unionByName(c)
+    none = "map<string, struct<change: double, span_s: double, within_s: double>>"
+    if parts is None:
+        return readings.withColumn("changes", F.lit(None).cast(none))
+    listed = parts.groupBy(key, t).agg(F.map_from_entries(F.collect_list(F.struct("rule", "c"))).alias("changes"))
+    return readings.join(listed, [key, t], "left").select(*readings.columns, "changes")
+
+
+def _or(df: DataFrame, name: str, kind: str, default) -> Column:
+    return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
+
+
 def rules_in_force(rules: DataFrame, modes: DataFrame) -> DataFrame:
-    """Rules whose every ``when`` entry (map mode -> value) agrees with the mode's present value."""
+    """Rules whose every ``when`` entry (map mode -> value) agrees with the mode's present value, with ``since``, when the last of
+    their modes began, if the modes tell (column ``since``)."""
     w = rules.select("rule", F.explode("when").alias("mode", "wanted")).join(modes, "mode", "left")
     off = w.filter(~F.col("wanted").eqNullSafe(F.col("present"))).select("rule").distinct()
-    return rules.join(off, "rule", "left_anti")
+    left = rules.join(off, "rule", "left_anti")
+    if "since" not in modes.columns:
+        return left
+    return left.drop("since").join(w.groupBy("rule").agg(F.max("since").alias("since")), "rule", "left")
 
 
 def evaluate(values: DataFrame, channels: DataFrame, rules: DataFrame, key: str = "input", t: str = "t", v: str = "value", change: str | None = None) -> DataFrame:
     """Level and reasons of each reading against the rules in force.
 
     channels (input, lo, hi, safety), rules (rule, input, op, limit, level). Ops: at_or_above, above, below,
-    change (of ``change``). A value outside the channel's range is a notice, a warning where a safety rule
+    change (of the column ``change``, or of the rule's own entry in ``changes``, see ``rule_changes``; a span that the history doesn't
+    fill yet is said among the reasons). A value outside the channel's range is a notice, a warning where a safety rule
     exists; no value with a safety rule in force is a warning, else no data.
     """
-    listed = rules.groupBy(key).agg(F.collect_list(F.struct("op", "limit", "level")).alias("_rules"))
+    named = F.col("rule") if "rule" in rules.columns else F.lit(None).cast("string").alias("rule")
+    listed = rules.groupBy(key).agg(F.collect_list(F.struct("op", "limit", "level", named)).alias("_rules"))
     x = values.join(channels, key, "left").join(listed, key, "left")
     val = F.col(v)
-    ch = F.col(change) if change else F.lit(None).cast("double")
-    empty = F.array().cast("array<struct<op: string, limit: double, level: string>>")
+    own = "changes" in values.columns
+    empty = F.array().cast("array<struct<op: string, limit: double, level: string, rule: string>>")
     active = F.coalesce("_rules", empty)
 
+    def changed(r: Column) -> Column:
+        return F.try_element_at("changes", r["rule"])["change"] if own else F.col(change) if change else F.lit(None).cast("double")
+
     def hit(r: Column) -> Column:
         return (
             F.when(r["op"] == "at_or_above", val >= r["limit"])
             .when(r["op"] == "above", val > r["limit"])
             .when(r["op"] == "below", val < r["limit"])
-            .when(r["op"] == "change", F.coalesce(F.abs(ch) >= r["limit"], F.lit(False)))
+            .when(r["op"] == "change", F.coalesce(F.abs(changed(r)) >= r["limit"], F.lit(False)))
             .otherwise(False)
         )
 
@@ -128,9 +169,13 @@ def evaluate(values: DataFrame, channels: DataFrame, rules: DataFrame, key: str
         F.when(outside, F.array(F.lit("outside range"))).otherwise(F.array().cast("array<string>")),
         F.transform(hits, lambda r: F.concat(r["op"], F.lit(" "), r["limit"].cast("string"), F.lit(" ["), r["level"], F.lit("]"))),
     )
+    if own:
+        filled = lambda r: F.try_element_at("changes", r["rule"])
+        early = F.filter(active, lambda r: F.coalesce((r["op"] == "change") & (filled(r)["span_s"] < filled(r)["within_s"]), F.lit(False)))
+        reasons = F.concat(reasons, F.transform(early, lambda r: F.concat(F.lit("change "), r["limit"].cast("string"), F.lit(": only "), filled(r)["span_s"].cast("long").cast("string"), F.lit(" s of history"))))
     missing = val.isNull()
     return x.select(
-        *values.columns,
+        *[c for c in values.columns if c != "changes"],
         F.when(missing & safety_now, "warn").when(missing, "nodata").otherwise(level).alias("level"),
         F.array_sort(F.when(missing, F.array().cast("array<string>")).otherwise(reasons)).alias("reasons"),
     )

@@ -270,6 +270,42 @@ def change_over(spark, sf):
     return c.select("input", "t", F.round("change", 8).alias("change"), "span_s")
 
 
+# (rule, input, limit, level, span in thousands of seconds, begin of its mode)
+CHANGE_RULES = [("c1", "click", 40.0, "notice", 600, None), ("c2", "click", 90.0, "bad", 120, None), ("c3", "error", 40.0, "problem", 600, 1_705_000_000_000), ("c4", "view", 60.0, "warn", 600, None)]
+
+
+def _change_sql() -> str:
+    ctes, rules = [], []
+    for name, key, limit, level, w, since in CHANGE_RULES:
+        early = f" FILTER (t >= {since - 60_000_000})" if since else ""
+        ctes.append(f"""{name}f AS (SELECT *, min(t){early} OVER (PARTITION BY input ORDER BY t RANGE BETWEEN {(w + 60) * 1_000_000} PRECEDING AND CURRENT ROW) AS t0 FROM m WHERE input = '{key}'),
+    {name} AS (SELECT DISTINCT f.input, f.t, CASE WHEN f.t - 60000000 - t0 > 0 THEN recent - p.ahead END AS change, CASE WHEN f.t - 60000000 - t0 > 0 THEN least((f.t - 60000000 - t0) / 1e6, {w}) ELSE 0 END AS span
+      FROM {name}f f LEFT JOIN (SELECT DISTINCT input, t, ahead FROM m) p ON p.input = f.input AND p.t = f.t0)""")
+        hit = f"coalesce(abs({name}.change) >= {limit}, false)"
+        rules.append((name, hit, limit, level, w))
+    rank = {"notice": 3, "problem": 4, "warn": 5, "bad": 6}
+    levels = ", ".join(f"CASE WHEN {hit} THEN {rank[level]} ELSE 1 END" for _, hit, _, level, _ in rules)
+    said = ", ".join([f"CASE WHEN {hit} THEN 'change {limit} [{level}]' END" for _, hit, limit, level, _ in rules] + [f"CASE WHEN {n}.span < {w} THEN 'change {limit}: only ' || CAST(floor({n}.span) AS BIGINT) || ' s of history' END" for n, _, limit, _, w in rules])
+    joins = " ".join(f"LEFT JOIN {n} ON {n}.input = v.input AND {n}.t = v.t" for n, *_ in rules)
+    return f"""WITH {READINGS_SQL}, v AS (SELECT * FROM r WHERE value IS NOT NULL),
+    m AS (SELECT *, avg(value) OVER (PARTITION BY input ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS recent,
+      avg(value) OVER (PARTITION BY input ORDER BY t RANGE BETWEEN CURRENT ROW AND 60000000 FOLLOWING) AS ahead FROM v), {", ".join(ctes)}
+    SELECT v.input, v.t, v.value, CASE greatest(1, {levels}) WHEN 1 THEN 'ok' WHEN 3 THEN 'notice' WHEN 4 THEN 'problem' WHEN 5 THEN 'warn' WHEN 6 THEN 'bad' END AS level,
+      list_sort(list_filter([{said}], lambda x: x IS NOT NULL)) AS reasons FROM v {joins}"""
+
+
+@C.query("change_rules", _change_sql())
+def change_rules(spark, sf):
+    """Every rule over its own span; one begins with its mode, another's mode is off."""
+    rows = [(n, i, "change", limit, level, w, {"beam": "on"} if since else {}) for n, i, limit, level, w, since in CHANGE_RULES] + [("off", "purchase", "change", 0.0, "bad", 600, {"beam": "off"})]
+    rules = spark.createDataFrame(rows, "rule string, input string, op string, limit double, level string, within_s int, when map<string, string>")
+    modes = spark.createDataFrame([("beam", "on", next(s for *_, s in CHANGE_RULES if s))], "mode string, present string, since long")
+    channels = spark.createDataFrame([(i, None, None, False) for i in ("click", "error", "view", "signup", "purchase")], "input string, lo double, hi double, safety boolean")
+    r = readings(spark, sf).filter("value IS NOT NULL")
+    now = L.rules_in_force(rules, modes)
+    return L.evaluate(L.rule_changes(r, now, unit=1_000_000), channels, now).select("input", "t", "value", "level", "reasons")
+
+
 RULES = [("r1", "click", "above", 300.0, "notice"), ("r2", "click", "at_or_above", 600.0, "warn"), ("r3", "error", "below", 3.0, "bad"), ("r4", "view", "above", 900.0, "critical"), ("r5", "signup", "above", 1.0, "notice")]
 
 

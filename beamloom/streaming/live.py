@@ -289,31 +289,42 @@ def finished_kind(spark: SparkSession, run_file: str, data: str, now: float) ->
 
 
 class SlowControl:
-    """Readings against limit rules, with the history the rules look back on (an hour, or the longest rule)."""
+    """Readings against limit rules, with the history that the rules look back on.
 
-    def __init__(self, folder: str, channels: DataFrame, rules: DataFrame, keep_s: int = 3600, within_s: int = 600):
-        self.folder, self.channels, self.rules = folder, channels, rules
-        self.keep_ms = (max(keep_s, within_s) + 60) * 1000
-        self.within_s = within_s
+    ``channels``, ``rules`` and ``modes`` are tables, or functions that give them anew for every batch, so limits, spans and modes may change while
+    the query runs. The history is one version per batch, written whole and pruned: of each input an hour, or the longest span of its
+    change rules, and a minute. So a batch reads one history, however many batches came before.
+    """
+
+    def __init__(self, folder: str, channels, rules, modes=None, keep_s: int = 3600, within_s: int = 600):
+        self.folder, self.tables = folder, (channels, rules, modes)
+        self.keep_s, self.within_s = keep_s, within_s
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
         from beamloom.functions.hitcols import linear_value
         from beamloom.operators import limits as L
 
         spark = df.sparkSession
-        c = self.channels.select("input", "scale", "offset", "connected")
+        channels, rules, modes = (x() if callable(x) else x for x in self.tables)
+        if modes is not None:
+            rules = L.rules_in_force(rules, modes)
+        c = channels.select("input", "scale", "offset", "connected")
         tc_open = F.when(F.col("input").startswith("tc"), F.lit(L.TC_OPEN))
         v = linear_value(F.col("raw"), F.col("scale"), F.col("offset"), tc_open)
-        fresh = df.join(c, "input").withColumn("value", F.when(F.col("connected"), v)).select("t", "input", "value", F.lit(True).alias("fresh"))
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/readings/batch={batch_id}")
-        newest = spark.read.parquet(f"{self.folder}/readings/batch={batch_id}").agg(F.max("t")).first()[0]
-        if newest is None:
-            return
-        every = spark.read.parquet(f"{self.folder}/readings")
-        old = every.filter((F.col("batch") < batch_id) & (F.col("t") > newest - self.keep_ms)).withColumn("fresh", F.lit(False))
-        both = old.unionByName(every.filter(F.col("batch") == batch_id)).drop("batch")
-        ch = L.change_over(both, self.within_s)
-        x = both.filter("fresh").join(ch.select("input", "t", "change").dropDuplicates(["input", "t"]), ["input", "t"], "left")
-        dim = self.channels.select("input", "lo", "hi", "safety")
-        levels = L.evaluate(x.drop("fresh"), dim, self.rules, change="change")
+        fresh = df.join(c, "input").withColumn("value", F.when(F.col("connected"), v)).select("t", "input", "value", F.lit(batch_id).cast("long").alias("came"))
+        files = Files(spark, self.folder)
+        before = [b for x in files.names("history") if (b := int(x.split("=")[1])) < batch_id]
+        if before:
+            fresh = spark.read.schema(fresh.schema).parquet(f"{self.folder}/history/batch={max(before)}").unionByName(fresh)
+        span = rules.filter("op = 'change'").select("input", (F.col("within_s") if "within_s" in rules.columns else F.lit(self.within_s)).alias("w"))
+        keep = span.groupBy("input").agg(((F.greatest(F.max("w"), F.lit(self.keep_s)) + 60) * 1000).cast("long").alias("keep"))
+        newest = fresh.groupBy("input").agg(F.max("t").alias("newest"))
+        kept = fresh.join(newest, "input").join(keep, "input", "left").filter(F.col("t") > F.col("newest") - F.coalesce("keep", F.lit((self.keep_s + 60) * 1000)))
+        kept.select("t", "input", "value", "came").write.mode("overwrite").parquet(f"{self.folder}/history/batch={batch_id}")
+        history = spark.read.schema(fresh.schema).parquet(f"{self.folder}/history/batch={batch_id}")
+        changed = L.rule_changes(history, rules, within_s=self.within_s).filter(F.col("came") == batch_id).drop("came")
+        levels = L.evaluate(changed, channels.select("input", "lo", "hi", "safety"), rules)
         levels.write.mode("overwrite").parquet(f"{self.folder}/levels/batch={batch_id}")
+        for old in before:
+            if old != max(before):
+                files.remove("history", f"batch={old}")
