@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beamloom.llm.memory import frugal
 from beamloom.llm.tokens import batches
 
 #: Characters of a leaf of the tree, and tokens on each side of the first window.
-LEAF = 4096
+LEAF = 512
 WINDOW = 4
 BATCH_CHARS = 1 << 20
 
@@ -143,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns[:-1], ids], names=schema.names)
                 at += len(texts)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -164,4 +165,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
                 got = pa.array([bpe.decode(x or []) for x in part.column(place).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, got], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

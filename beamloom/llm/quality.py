@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beamloom.llm.memory import frugal
 from beamloom.llm.shingles import SPACE, chunks, pieces, word_hashes
 
 #: Training rows of each label, the longest text that is a training row (bytes), and lines of all rows of a label: the
@@ -349,12 +350,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """All columns and ``out``, the probability-like quality of the whole text; one pass, no shuffle."""
     kept = [c for c in docs.columns if c != out]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType(), False)])
+    names = kept if text in kept else [*kept, text]  # a text that the score takes the place of is sent along
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField(out, T.DoubleType(), False)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            got = model.scores(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=schema.names)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                got = model.scores(part.column(names.index(text)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(got, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

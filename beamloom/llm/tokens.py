@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beamloom.llm.memory import frugal
+
 #: White space of Unicode (fixed values); nothing else may end a piece.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -46,11 +48,11 @@ def _memo(path: str) -> dict[str, int]:
 
 
 def batches(texts: list[str], batch_bytes: int) -> Iterator[list[str]]:
-    """Runs of texts of about batch_bytes characters."""
+    """Runs of texts of about batch_bytes bytes of UTF-8."""
     run, size = [], 0
     for t in texts:
         run.append(t)
-        size += len(t)
+        size += len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
         if size >= batch_bytes:
             yield run
             run, size = [], 0
@@ -92,4 +94,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
             n = token_lengths(b.column(b.num_columns - 1).to_pylist(), path, batch_bytes)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
