@@ -83,8 +83,17 @@ def find(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return shared.filter(F.col("shared") * 100 >= F.col("q") * PERCENT).select(F.col("id").alias(id), F.col("item").alias(item), F.col("q").alias("item_shingles"), "shared", "mark")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def clean(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, that hold no item."""
-    marks = found.select(F.col(id).alias("__id"), F.col("mark").alias("__mark")).distinct()
+    own, mark = unused("__id", docs), unused("__mark", docs)
+    marks = found.select(F.col(id).alias(own), F.col("mark").alias(mark)).distinct()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.join(marks, F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__mark")), "left_anti")
+    return docs.join(marks, F.col(f"`{id}`").eqNullSafe(F.col(own)) & (F.xxhash64(body) == F.col(mark)), "left_anti")

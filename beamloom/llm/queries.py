@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +14,31 @@ from beamloom.session import cut, scratch_dir
 C = Catalogue()
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file; only the queries that need one ask for the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_files() -> tuple[str, str]:
+    """File of ranks and pattern of the byte-level BPE."""
+    import public_tokenizers
+
+    return tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @C.query("op1_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    counted = tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
 @C.query("op4_bpe")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), BPE_FILE, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.decode(encoded, BPE_FILE, public_tokenizers.PATTERN).select(
+    path, pattern = bpe_files()
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    return bpe.decode(encoded, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

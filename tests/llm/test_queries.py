@@ -3,6 +3,7 @@
 import duckdb
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import check
 import corpus_pipeline
@@ -68,3 +69,17 @@ def test_a_text_that_shares_its_id_with_a_copy_stays(spark):
     got = corpus_pipeline.keep_one_of_each_class(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, copied), (2, alone), (None, alone)], key=repr)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "other text of the same id"), (3, "x y z x y z"), (None, "a b c d e f g"), (None, None), (3, "x y z x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = ("__id", "__key", "__later", "__mark", "__score", "__text", "id", "key", "mark", "row", "later", "h", "component_id", "n")
+    for c in odd:
+        docs = docs.withColumn(c, F.lit("clash"))
+    once = corpus_pipeline.keep_one_of_each_class(spark, docs, SF)
+    assert once.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=repr) == sorted([rows[0], rows[2], rows[3], rows[4], rows[5]], key=repr)
+    assert corpus_pipeline.keep_good(spark, docs, SF).columns == docs.columns
+    left = corpus_pipeline.keep_clean(spark, docs, SF)
+    assert left.columns == docs.columns and left.count() == len(rows)
