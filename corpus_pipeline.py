@@ -1,23 +1,24 @@
 """A corpus pipeline of four stages over ``documents``; each stage's rows are written and read again by the next one.
 
-All but the last return the columns of their documents, extra ones included. A null text is an empty one for every stage.
+All but the last return the columns of their documents, extra ones included, whatever their names. A null text is an empty one
+for every stage. Ids are whole numbers or null; others end the job.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamloom.llm import bpe, decontaminate, partenum, quality
-from beamloom.llm.queries import BPE_FILE
+from beamloom.llm.queries import bpe_files
 from beamloom.session import scratch_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 1/2 or more, learnt from the labelled ones among them that are not held out."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, out="__score").filter("__score >= 0.5").drop("__score")
+    score = decontaminate.unused("__score", docs)
+    return quality.score(docs, model, out=score).filter(f"{score} >= 0.5").drop(score)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +27,19 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that share an id and are equal in all columns are one document; those that differ all stay, unless their own text
     links to another document. Of the texts of one id, one counts under the id and the others after all ids.
     """
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("count"), F.min(mark).alias("__low"), F.max(mark).alias("__high")).filter("count > 1")
-    repeated = partenum.broadcast_ids(several.select("__id", "__low", "__high"))
-    texts = docs.join(repeated.filter("__low < __high"), docs["doc_id"] == F.col("__id")).filter(mark > F.col("__low")).select("__id", mark.alias("__mark")).distinct()
-    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
-    texts = partenum.broadcast_ids(texts.withColumn("__later", F.lit(top) + 1 + F.monotonically_increasing_id()))
-    keyed = docs.join(texts, (docs["doc_id"] == texts["__id"]) & (mark == texts["__mark"]), "left").select(docs["*"], F.coalesce("__later", docs["doc_id"].cast("long")).alias("__key"))
-    found = partenum.classes(keyed, "__key")
-    others = partenum.broadcast_ids(found.filter("component_id < __key").select(F.col("__key").alias("__other")).distinct())
-    kept = keyed.join(others, keyed["__key"] == F.col("__other"), "left_anti").drop("__key")
-    again = kept["doc_id"] == F.col("__id")
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    several = rows.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("count"), F.min("mark").alias("low"), F.max("mark").alias("high")).filter("count > 1")
+    repeated = partenum.broadcast_ids(several.select("id", "low", "high"))
+    texts = rows.join(repeated.filter("low < high"), "id").filter("mark > low").select("id", "mark").distinct()
+    top = rows.agg(F.max("id")).first()[0] or 0
+    texts = partenum.broadcast_ids(texts.withColumn("later", F.lit(top) + 1 + F.monotonically_increasing_id()))
+    keyed = rows.join(texts, ["id", "mark"], "left").withColumn("key", F.coalesce("later", "id"))
+    found = partenum.classes(keyed.select("key", "text"), "key")
+    others = partenum.broadcast_ids(found.filter("component_id < key").select("key").distinct())
+    kept = keyed.join(others, "key", "left_anti").select("row", "id")
+    of_many = repeated.select("id")
+    return kept.join(of_many, "id", "left_anti").select("row.*").unionByName(kept.join(of_many, "id", "left_semi").select("row").distinct().select("row.*"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source, the ids of the text, their number, and whether they decode to the text's very bytes."""
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    coded = bpe.encode(docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")), BPE_FILE, public_tokenizers.PATTERN)
-    back = bpe.decode(coded, BPE_FILE, public_tokenizers.PATTERN)
+    files = bpe_files()
+    coded = bpe.encode(docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")), *files)
+    back = bpe.decode(coded, *files)
     return back.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
