@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,19 +146,74 @@ def channel_pivot(hits: DataFrame, event: str, channels: dict[str, int], values:
     return hits.filter(F.col("ch").isin(*channels.values())).groupBy(event).agg(*aggs)
 
 
-def coincidence_matrix(hits: DataFrame, event: str, order: str, channel: str = "ch") -> DataFrame:
+#: Hits of one event that one task walks; a larger event is cut into slices.
+EVENT_HITS = 2_000_000
+FOLD_ROWS = 1 << 15
+
+
+def _pair_counts(event: np.ndarray, ch: np.ndarray, before: dict[int, int], found: dict[tuple[int, int], int]) -> dict[int, int]:
+    """Adds the ordered pairs of the hits (sorted by event, in order) to ``found``; ``before``: hits per channel of the first event
+    that came earlier. Returns the hits per channel of the last event."""
+    names, code = np.unique(ch, return_inverse=True)
+    begins = np.flatnonzero(np.append(True, event[1:] != event[:-1]))
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(event))))
+    after = {}
+    for x in {*names.tolist(), *before}:
+        mine = ch == x
+        seen = np.cumsum(mine) - mine  # hits of x before this one, in the batch; less those of earlier events
+        seen -= seen[begins][of]
+        seen[of == 0] += before.get(x, 0)
+        for y, n in zip(names.tolist(), np.bincount(code, seen, len(names)).astype(np.int64).tolist()):
+            if n:
+                found[x, y] = found.get((x, y), 0) + n
+        last = int(mine[begins[-1] :].sum()) + (before.get(x, 0) if len(begins) == 1 else 0)
+        if last:
+            after[x] = last
+    return after
+
+
+def coincidence_matrix(hits: DataFrame, event: str, order: str, channel: str = "ch", event_hits: int = EVENT_HITS) -> DataFrame:
     """(ch_x, ch_y, n) over all ordered pairs i < j of hits of an event, without making the pairs.
 
-    A hit on channel y closes as many pairs (x, y) as hits of x came before it. So each hit is set against the
-    channels of its event (a handful, and never more than there are channels) and carries the running count of
-    each: rows grow with hits x channels, not with hits squared. An event holding a large share of all hits is
-    cut into slices like any other ordered work.
+    A hit on channel y closes as many pairs (x, y) as hits of x came before it in its event. Hits are dealt once, by event, and a task folds
+    its sorted stream: what it holds is the counts of the event that it is in and its sums, one per pair of channels, which
+    are all that leaves it. Events of more than ``event_hits`` hits are ordered in slices instead, with running counts.
     """
-    h = hits.select(event, F.col(order).cast("long").alias("_o"), F.col(channel).alias("ch_y"))
-    plan = plan_slices(h, (event,), "_o", "_o", whole_keys=True)
-    present = h.select(event, F.col("ch_y").alias("ch_x")).distinct()
-    x = plan.assign(h).join(present, event).withColumn("_is", (F.col("ch_x") == F.col("ch_y")).cast("long"))
-    per_channel = replace(plan, keys=(event, "ch_x"))  # cut as above, before the channels are set against the hits
+    h = hits.select(F.col(event).alias("_ev"), F.col(order).cast("long").alias("_o"), F.col(channel).cast("long").alias("_ch"))
+    big = cut(h.groupBy("_ev").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > event_hits).select("_ev"), "big-events")
+    some = big.limit(1).count()
+    rest = (h.join(big, "_ev", "left_anti") if some else h).filter("_ev IS NOT NULL AND _ch IS NOT NULL")
+    dealt = rest.repartition("_ev").sortWithinPartitions("_ev", "_o").select("_ev", "_ch")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        last, before = None, {}
+        for b in parts:
+            for at in range(0, b.num_rows, FOLD_ROWS):
+                part = b.slice(at, FOLD_ROWS)
+                names = part.column(0)
+                codes = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                first = names[0].as_py()
+                before = _pair_counts(codes, part.column(1).to_numpy(), before if last is not None and last[0] == first else {}, found)
+                last = (names[len(names) - 1].as_py(),)
+        if found:
+            (x, y), n = zip(*found), list(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(n, pa.int64())], names=["ch_x", "ch_y", "n"])
+
+    sums = dealt.mapInArrow(fold, "ch_x long, ch_y long, n long")
+    if some:
+        sums = sums.unionByName(_sliced_matrix(h.join(big, "_ev", "left_semi")))
+    kind = hits.schema[channel].dataType
+    return sums.groupBy("ch_x", "ch_y").agg(F.sum("n").alias("n")).select(F.col("ch_x").cast(kind).alias("ch_x"), F.col("ch_y").cast(kind).alias("ch_y"), "n")
+
+
+def _sliced_matrix(h: DataFrame) -> DataFrame:
+    """The same for large events: each hit beside the channels of its event, with running counts across slices."""
+    h = h.withColumnRenamed("_ch", "ch_y")
+    plan = plan_slices(h, ("_ev",), "_o", "_o", whole_keys=True)
+    present = h.select("_ev", F.col("ch_y").alias("ch_x")).distinct()
+    x = plan.assign(h).join(present, "_ev").withColumn("_is", (F.col("ch_x") == F.col("ch_y")).cast("long"))
+    per_channel = replace(plan, keys=("_ev", "ch_x"))  # cut as above, before the channels are set against the hits
     upto = Ordered(x, per_channel).running_sum(F.col("_is"), "_k").done()
     return upto.groupBy("ch_x", "ch_y").agg(F.sum(F.col("_k") - F.col("_is")).alias("n")).filter("n > 0")
 
