@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from beamloom.functions import binning as B
 from beamloom.operators import analyzers as A
 from beamloom.operators import hist as Hi
 from beamloom.operators import joins as J
@@ -12,9 +13,15 @@ from beamloom.operators import physics as P
 from beamloom.operators import quality as Q
 from beamloom.operators import rates as R
 from beamloom.operators import views as V
+from beamloom.operators.stored import HistStore, channel_tabs
 from beamloom.plans.adapters import EVENTS_SQL, HITS_SQL, as_events, as_hits, read
 from beamloom.plans.catalogue import Catalogue
 from beamloom.plans.event_queries import ANCHOR_SQL
+from beamloom.plans.hist_queries import C as HIST
+from beamloom.plans.join_queries import DT as J_DT
+from beamloom.plans.join_queries import REF as J_REF
+from beamloom.plans.join_queries import C as JOINS
+from beamloom.session import scratch_dir
 from beamloom.sources import raw
 from beamloom.sources import sinks as K
 
@@ -186,3 +193,55 @@ def document_changes(spark, sf):
     a = read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
     b = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.when(F.min("o_orderkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("value"))
     return Q.two_sided_differences(a, b, ["key"])
+
+
+def _filled_store(spark, sf):
+    """All histograms of all channels in a store: a batch per board, the second one twice, then another beside the merged base."""
+    hits = as_hits(spark, sf)
+    store = HistStore(spark, scratch_dir(spark, "histograms"), parts=1)
+    store.define("q", x="charge")
+    store.define("iat", x="tenths of a decade of ms")
+    store.define("dt", x=[-J_DT, J_DT, 240], reference=J_REF)
+    store.define("rate", x="s")
+    store.define("psd", x_edges=B.psd_map_edges(), y=100)
+    store.define("psd_out", x="all")
+    for board in (0, 1, 1, 2):
+        own = hits.filter(F.col("board") == board)
+        dt = J.time_to_reference(hits.filter((F.col("board") == board) | (F.col("slot") == J_REF)), J_REF, J_DT, 240).filter(F.expr("slot div 16") == board)
+        store.add(
+            board,
+            {
+                "q": (Hi.spectrum(own), "qlong", None), "iat": (Hi.since_previous(own, unit_per_ns=1_000_000.0), "bin", None), "dt": (dt, "bin", None),
+                "rate": (Hi.per_second(own, unit=1_000_000), "sec", None), "psd": (Hi.psd_map(own), "x", "y"), "psd_out": (Hi.psd_out(own).withColumn("x", F.lit(0)), "x", None),
+            },
+        )
+    return store
+
+
+@C.query("stored_histograms", f"WITH {HITS_SQL} SELECT slot, CAST(qlong AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, count(*) AS n FROM hits GROUP BY ALL")
+def stored_histograms(spark, sf):
+    return _filled_store(spark, sf).read("q")
+
+
+TAB_SLOT = 21
+
+
+def _tabs_sql() -> str:
+    def stored(tab: str, name: str, x: str, y: str = "0") -> str:
+        return f"SELECT '{tab}' AS tab, CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y, CAST(sum(n) AS BIGINT) AS n FROM ({(HIST.sql | JOINS.sql)[name]}) WHERE slot = {TAB_SLOT} GROUP BY ALL"
+
+    total = f"""SELECT 'q_total' AS tab, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(unnest([sum(n), coalesce(sum(n) FILTER (qlong = 0), 0), coalesce(sum(n) FILTER (qlong = 65535), 0),
+      coalesce(sum(n) FILTER (qlong > 0 AND qlong < 65535 AND (qlong < 100 OR qlong >= 10000)), 0)]) AS BIGINT) AS n FROM s WHERE slot = {TAB_SLOT}"""
+    shown = f"SELECT 'q' AS tab, CAST((qlong - 100) // 99 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(sum(n) AS BIGINT) AS n FROM s WHERE slot = {TAB_SLOT} AND qlong >= 100 AND qlong < 10000 GROUP BY ALL"
+    edges = B.psd_map_edges()
+    seen = [i for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > 100 and a < 10_000]
+    psd = f"SELECT * FROM ({stored('psd', 'psd_map', 'x', 'y')}) WHERE x BETWEEN {seen[0]} AND {seen[-1]}"
+    out = f"SELECT 'psd_out' AS tab, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, count(*) AS n FROM hits WHERE slot = {TAB_SLOT} AND qlong > 0 AND qlong < 65535 AND (qshort >= 32767 OR qshort > qlong) HAVING count(*) > 0"
+    parts = [shown, total, stored("iat", "since_previous", "bin"), stored("dt", "dt_reference", "bin"), stored("rate", "rate_seconds", "sec"), psd, out]
+    return f"WITH {HITS_SQL}, s AS (SELECT slot, qlong, count(*) AS n FROM hits GROUP BY ALL) " + " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@C.query("channel_tabs", _tabs_sql())
+def channel_tabs_of_one(spark, sf):
+    """Everything one channel's view shows, from the stored histograms."""
+    return channel_tabs(_filled_store(spark, sf), TAB_SLOT, 100, 10_000, 100)
