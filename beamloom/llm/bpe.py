@@ -34,7 +34,9 @@ from beamloom.llm.tokens import batches
 #: Characters of a leaf of the tree, and tokens on each side of the first window.
 LEAF = 512
 WINDOW = 4
-BATCH_CHARS = 1 << 20
+#: Rows and bytes of text worked on at once.
+ROWS = 512
+BATCH_BYTES = 1 << 20
 
 
 @lru_cache(4096)
@@ -126,27 +128,42 @@ def _lists(ids: list[list[int]], width: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(edges, pa.array(flat, width))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns and ``out``, the ids of the whole text as array<int>; a column of that name is replaced.
-
-    A null is an empty text (no ids). Repeated rows give repeated results; an empty table gives an empty table.
-    """
-    kept = [c for c in docs.columns if c != out]
+def _coded(docs: DataFrame, path: str, pattern: str, text: str, ids: str, decoded: str | None) -> DataFrame:
+    """All columns of other names, ``ids`` and, if asked for, the bytes that they decode to; one worker does both, few rows at a time."""
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])
+    schema = T.StructType([*rows.schema.fields[:-1], *new])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
         for b in parts:
-            at = 0
-            for texts in batches(b.column(b.num_columns - 1).to_pylist(), BATCH_CHARS):
-                ids = _lists([bpe.encode(t) for t in texts], pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns[:-1], ids], names=schema.names)
-                at += len(texts)
+            for at in range(0, b.num_rows, ROWS):
+                part, done = b.slice(at, ROWS), 0
+                for texts in batches(part.column(part.num_columns - 1).to_pylist(), BATCH_BYTES):
+                    found = [bpe.encode(t) for t in texts]
+                    columns = [_lists(found, pa.int32())]
+                    if decoded:
+                        columns.append(pa.array(map(bpe.decode, found), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*part.slice(done, len(texts)).columns[:-1], *columns], names=schema.names)
+                    done += len(texts)
 
     return rows.mapInArrow(frugal(run), schema)
 
 
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """All columns and ``out``, the ids of the whole text as array<int>; a column of that name is replaced.
+
+    A null is an empty text (no ids). Repeated rows give repeated results; an empty table gives an empty table.
+    """
+    return _coded(docs, path, pattern, text, out, None)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, and ``decoded``, the bytes that the ids stand for: a round trip in one pass."""
+    return _coded(docs, path, pattern, text, ids, decoded)
+
+
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns and ``out``, the bytes that the ids stand for (binary: ids need not end on a whole character).
 

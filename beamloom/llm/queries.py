@@ -36,9 +36,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.query("op4_bpe")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = bpe_files()
-    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return bpe.decode(encoded, path, pattern).select(
+    return bpe.encode_and_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), *bpe_files()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

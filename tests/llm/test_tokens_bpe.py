@@ -73,3 +73,12 @@ def test_round_trip_in_spark(spark):
     assert got == {(i, tuple(b.encoding.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
     assert back.count() == len(rows) and bpe.encode(frame(spark, []), RANKS, P.PATTERN).count() == 0
     assert bpe.decode(coded.withColumn("ids", F.lit(None).cast("array<int>")), RANKS, P.PATTERN).filter("length(decoded) > 0").count() == 0
+
+
+def test_both_ways_in_one_pass_are_the_two_ways(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 3)
+    docs = frame(spark, documents()).select("doc_id", "text", "id")
+    back = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    once = bpe.encode_and_decode(docs, RANKS, P.PATTERN)
+    key = lambda r: repr((r.doc_id, r.text))
+    assert once.columns == back.columns and sorted(once.collect(), key=key) == sorted(back.collect(), key=key)
