@@ -50,9 +50,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source, the ids of the text, their number, and whether they decode to the text's very bytes."""
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    files = bpe_files()
-    coded = bpe.encode(docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")), *files)
-    back = bpe.decode(coded, *files)
+    back = bpe.encode_and_decode(docs.select(*kept, F.coalesce("text", F.lit("")).alias("text")), *bpe_files())
     return back.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
