@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.functions.binning import linear_bin
+from beamloom.functions.polygon import in_polygon
 from beamloom.operators.hist import hist2d
 from beamloom.operators.joins import channel_pivot
+from beamloom.sources.eventfiles import hits_of
 
 # Fixed values of the focal-plane detector.
 SPECTROMETER_CHANNELS = {"SR": 0, "SL": 1, "FR": 9, "FL": 8, "BR": 11, "BL": 10, "Cath": 7, "AF": 13, "AB": 15}
@@ -171,3 +173,43 @@ def ray_plot(tracks: DataFrame, xr: tuple, depths: int = 400, z_lo: float = -50.
     z = z_lo + (z_hi - z_lo) / depths * F.col("depth")
     x = (z / RAY_SEPARATION + 0.5) * (F.col("x2") - F.col("x1")) + F.col("x1")
     return d.withColumn("bx", linear_bin(x, *xr)).filter("bx is not null").groupBy("depth", "bx").agg(F.sum("m").alias("n"))
+
+
+def offline_spectrometer(
+    events: DataFrame,
+    reaction: Reaction,
+    channels: dict[str, int],
+    x_range: tuple[float, float, int],
+    charge_range: tuple[float, float, int],
+    ex_range: tuple[float, float, int],
+    pid_cut: list[tuple[float, float]] | None = None,
+    z_offset: float = 0.0,
+    rho_offset: float = 0.0,
+    rho_scaling: float = 1.0,
+    scale: float = 2.0,
+) -> DataFrame:
+    """The whole analysis of saved events in one pass: (hist, bx, by, n).
+
+    ``pid`` (charge of SL against AB) is filled ahead of the cut; ``focal`` (front against back wire), ``front``, ``back``, ``avg``,
+    ``avg_theta`` (a hundred bins of angle over the gate) and ``ex`` by events inside the cut and the angle gate that have a wire
+    position. A channel that did not fire has charge 0 for the cut. Only the arrays of channel, charge and time are read.
+    """
+    hits = hits_of(events, "ch", "e", "e_t").select(F.struct("run", "ev_id").alias("event"), "ch", "e", F.col("e_t").alias("t_ns"), F.col("i").alias("pos"))
+    t = spectrometer(hits, "event", z_offset, scale, channels)
+    total, part = F.coalesce("e_SL", F.lit(0)), F.coalesce("e_AB", F.lit(0))
+    inside = in_polygon(total.cast("double"), part.cast("double"), pid_cut) if pid_cut else F.lit(True)
+    kept = inside & angle_gate() & (F.col("x1").isNotNull() | F.col("x2").isNotNull())
+    ex = reaction.excitation((F.col("x_avg") - rho_offset) / 1000.0 / rho_scaling + reaction.rho0)
+    one = F.lit(0)
+
+    def entry(name: str, ok: Column, bx: Column, by: Column = one) -> Column:
+        return F.when(ok & bx.isNotNull() & by.isNotNull(), F.struct(F.lit(name).alias("hist"), bx.cast("int").alias("bx"), by.cast("int").alias("by")))
+
+    x = {c: linear_bin(F.col(c), *x_range) for c in ("x1", "x2", "x_avg")}
+    entries = [
+        entry("pid", (total > 0) & (part > 0), linear_bin(total.cast("double"), *charge_range), linear_bin(part.cast("double"), *charge_range)),
+        entry("focal", kept, x["x1"], x["x2"]), entry("front", kept, x["x1"]), entry("back", kept, x["x2"]), entry("avg", kept, x["x_avg"]),
+        entry("avg_theta", kept, x["x_avg"], linear_bin(F.col("theta"), 0.5, 1.2, 100)), entry("ex", kept, linear_bin(ex, *ex_range)),
+    ]
+    filled = t.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return filled.groupBy("hist", "bx", "by").agg(F.count(F.lit(1)).alias("n"))

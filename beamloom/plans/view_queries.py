@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from beamloom.functions import binning as B
 from beamloom.operators import analyzers as A
+from beamloom.operators import events as Ev
 from beamloom.operators import hist as Hi
 from beamloom.operators import joins as J
 from beamloom.operators import limits as L
@@ -22,7 +23,7 @@ from beamloom.plans.join_queries import DT as J_DT
 from beamloom.plans.join_queries import REF as J_REF
 from beamloom.plans.join_queries import C as JOINS
 from beamloom.session import scratch_dir
-from beamloom.sources import raw
+from beamloom.sources import eventfiles, raw
 from beamloom.sources import sinks as K
 
 C = Catalogue()
@@ -245,3 +246,65 @@ def _tabs_sql() -> str:
 def channel_tabs_of_one(spark, sf):
     """Everything one channel's view shows, from the stored histograms."""
     return channel_tabs(_filled_store(spark, sf), TAB_SLOT, 100, 10_000, 100)
+
+
+SAVED_GAP = 300_000_000
+
+
+@C.query(
+    "saved_events",
+    f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN ts_ps - lag(ts_ps) OVER w <= {SAVED_GAP} THEN 0 ELSE 1 END AS fr FROM hits WINDOW w AS (PARTITION BY run ORDER BY ts_ps, pos)),
+    b AS (SELECT *, sum(fr) OVER (PARTITION BY run ORDER BY ts_ps, pos) - 1 AS ev_id FROM m), r AS (SELECT run, min(ts_ps) AS t_start, max(ts_ps) AS t_end FROM hits GROUP BY run)
+    SELECT run, CAST(ev_id AS BIGINT) AS ev_id, count(*) AS multi, min(ts_ps) AS t_first, max(ts_ps) AS t_last, any_value(t_start) AS t_start, any_value(t_end) AS t_end,
+      array_to_string(list(serial * 100 + ch ORDER BY ts_ps, pos), ',') AS where_hit, array_to_string(list(qlong ORDER BY ts_ps, pos), ',') AS es, array_to_string(list((ts_ps // 1000) || '.' || (ts_ps % 1000) ORDER BY ts_ps, pos), ',') AS times
+    FROM b JOIN r USING (run) GROUP BY run, ev_id""",
+)
+def saved_events(spark, sf):
+    """Events saved, one run a second time, and read back with their runs' begin and end."""
+    hits = as_hits(spark, sf)
+    folder = scratch_dir(spark, "saved-events")
+    built = eventfiles.build_events(Ev.gap_bunches(hits, SAVED_GAP))
+    eventfiles.write_events(built, folder, slice_width=86_400_000_000)
+    eventfiles.write_events(built.filter("run % 2 = 1"), folder, slice_width=86_400_000_000)
+    e = eventfiles.read_events(spark, folder, slice_width=86_400_000_000).join(eventfiles.read_runs(spark, folder).select("run", "t_start", "t_end"), "run")
+    where = F.transform(F.arrays_zip("sn", "ch"), lambda h: (h["sn"] * 100 + h["ch"]).cast("string"))
+    times = F.transform(F.arrays_zip("e_t", "e_f"), lambda h: F.concat_ws(".", h["e_t"].cast("string"), h["e_f"].cast("string")))
+    return e.select("run", "ev_id", "multi", "t_first", "t_last", "t_start", "t_end", F.array_join(where, ",").alias("where_hit"), F.array_join(F.col("e").cast("array<string>"), ",").alias("es"), F.array_join(times, ",").alias("times"))
+
+
+PID_CUT = [(5.0, 5.0), (45.0, 10.0), (48.0, 48.0), (10.0, 40.0)]
+OFFLINE = CHANNELS | {"AB": 7}
+
+
+def _offline_sql() -> str:
+    terms = []
+    for i, (x1, y1) in enumerate(PID_CUT):
+        x2, y2 = PID_CUT[(i + 1) % len(PID_CUT)]
+        terms.append(f"CASE WHEN qt < {x1} + (dq - {y1}) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE AND dq >= {min(y1, y2)} AND dq < {max(y1, y2)} THEN 1 ELSE 0 END")
+    def last(ch: int, c: str) -> str:
+        return f"arg_max({c}, (t, pos)) FILTER (ch = {ch})"
+    k = "WHERE kept"
+    return f"""WITH {EVENTS_SQL}, w AS (SELECT ev, CAST(floor(e2 / 100) AS BIGINT) AS t, pos, ch, CAST(e AS INT) AS e FROM evs),
+    p AS (SELECT ev, coalesce({last(2, "e")}, 0) AS qt, coalesce({last(7, "e")}, 0) AS dq, {last(3, "t")} AS fr, {last(4, "t")} AS fl, {last(5, "t")} AS br, {last(6, "t")} AS bl FROM w GROUP BY ev),
+    x AS (SELECT *, CASE WHEN fl > 0 AND fr > 0 AND fl <> fr THEN (fl - fr)::DOUBLE / 2 / 2.1::DOUBLE END AS x1, CASE WHEN bl > 0 AND br > 0 AND bl <> br THEN (bl - br)::DOUBLE / 2 / 1.98::DOUBLE END AS x2 FROM p),
+    t AS (SELECT *, 0.5 * x1 + 0.5 * x2 AS xa, CASE WHEN x2 > x1 THEN atan((x2 - x1) / 36) WHEN x2 < x1 THEN pi() + atan((x2 - x1) / 36) WHEN x1 = x2 THEN pi() / 2 END AS th FROM x),
+    g AS (SELECT *, ({" + ".join(terms)}) % 2 = 1 AND (th IS NULL OR th BETWEEN 0.5 AND 1.2) AND (x1 IS NOT NULL OR x2 IS NOT NULL) AS kept, (xa / 1000 + {REACTION.rho0!r}::DOUBLE) * {REACTION.momentum_per_rho!r}::DOUBLE AS ka FROM t),
+    b AS (SELECT *, CASE WHEN x1 >= -300 AND x1 < 300 THEN floor((x1 + 300) * 60 / 600) END AS b1, CASE WHEN x2 >= -300 AND x2 < 300 THEN floor((x2 + 300) * 60 / 600) END AS b2,
+      CASE WHEN xa >= -300 AND xa < 300 THEN floor((xa + 300) * 60 / 600) END AS ba, CASE WHEN th >= 0.5 AND th < 1.2 THEN floor((th - 0.5) * 100 / 0.7) END AS bt,
+      sqrt({_E} * {_E} - {_K1} * {_K1} + {_MA} * {_MA} + 2 * {REACTION.cos!r}::DOUBLE * {_K1} * ka - 2 * {_E} * sqrt({_MA} * {_MA} + ka * ka)) - {_MB} AS ex FROM g),
+    h AS (SELECT 'pid' AS hist, floor(qt * 25 / 50) AS bx, floor(dq * 25 / 50) AS "by" FROM b WHERE qt > 0 AND dq > 0 AND qt < 50 AND dq < 50
+      UNION ALL SELECT 'focal', b1, b2 FROM b {k} UNION ALL SELECT 'front', b1, 0 FROM b {k} UNION ALL SELECT 'back', b2, 0 FROM b {k} UNION ALL SELECT 'avg', ba, 0 FROM b {k}
+      UNION ALL SELECT 'avg_theta', ba, bt FROM b {k} UNION ALL SELECT 'ex', CASE WHEN ex >= -20 AND ex < 20 THEN floor((ex + 20) * 80 / 40) END, 0 FROM b {k})
+    SELECT hist, CAST(bx AS INT) AS bx, CAST("by" AS INT) AS "by", count(*) AS n FROM h WHERE bx IS NOT NULL AND "by" IS NOT NULL GROUP BY ALL"""
+
+
+@C.query("offline_spectrometer", _offline_sql())
+def offline_spectrometer(spark, sf):
+    """Events saved in two folders of runs, chained, cut and analysed."""
+    ev = as_events(spark, sf)
+    hits = ev.select((F.col("ev") % 3).cast("int").alias("run"), "ev", F.floor(F.col("e2") / 100).cast("long").alias("t"), "pos", F.lit(0).alias("serial"), "ch", F.col("e").cast("int").alias("qlong"), F.lit(0).alias("qshort")).withColumn("ts_ps", F.col("t") * 1000)
+    built = eventfiles.build_events(hits, "ev")
+    a, b = scratch_dir(spark, "events-a"), scratch_dir(spark, "events-b")
+    eventfiles.write_events(built.filter("run < 2"), a)
+    eventfiles.write_events(built.filter("run = 2"), b)
+    return P.offline_spectrometer(eventfiles.read_events(spark, a, b), REACTION, OFFLINE, (-300.0, 300.0, 60), (0.0, 50.0, 25), (-20.0, 20.0, 80), PID_CUT)
