@@ -42,8 +42,8 @@ def remapped(hits: DataFrame, strips: DataFrame) -> DataFrame:
     return hits.join(strips.filter("strip >= 0"), ["serial", "ch"]).withColumn("energy", F.col("qlong") * F.col("corr"))
 
 
-def band_pairs(hits: DataFrame, ref: DataFrame, width: int, ts: str = "ts_ps", keys: tuple[str, ...] = ("run",)) -> DataFrame:
-    """(keys, hit columns, dt, n): hits against reference times within +-width, counted.
+def _met_in_band(hits: DataFrame, ref: DataFrame, width: int, ts: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys, hit columns, dt and weight: hits against reference times within +-width.
 
     Both sides are first counted per distinct (columns, time): rows sharing a time meet as one weighted pair.
     The reference is copied to three time buckets; the join is an equi-join on (keys, bucket).
@@ -53,15 +53,24 @@ def band_pairs(hits: DataFrame, ref: DataFrame, width: int, ts: str = "ts_ps", k
     near = F.explode(F.array(*[floor_to(F.col("_r"), width) + d * width for d in (-1, 0, 1)])).alias("_b")
     right = ref.select(*keys, F.col(ts).alias("_r")).groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_m")).select(*keys, "_r", "_m", near)
     j = left.join(right, [*keys, "_b"]).withColumn("dt", F.col(ts) - F.col("_r")).filter(F.abs("dt") <= width)
-    return j.groupBy(*keys, *cols, "dt").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
+    return j.select(*keys, *cols, "dt", (F.col("_n") * F.col("_m")).alias("weight"))
+
+
+def band_pairs(hits: DataFrame, ref: DataFrame, width: int, ts: str = "ts_ps", keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """(keys, hit columns, dt, n): hits against reference times within +-width, counted."""
+    cols = [c for c in hits.columns if c not in (ts, *keys)]
+    return _met_in_band(hits, ref, width, ts, keys).groupBy(*keys, *cols, "dt").agg(F.sum("weight").alias("n"))
 
 
 def time_to_reference(hits: DataFrame, ref_slot: int, width: int, bins: int) -> DataFrame:
-    """(slot, bin, n) of t - t_ref for all pairs within +-width; a reference hit is not paired with itself."""
+    """(slot, bin, n) of t - t_ref for all pairs within +-width; a reference hit is not paired with itself.
+
+    Pairs are put into bins where they are made and summed there, so what is shuffled after the join is channels x bins per task.
+    """
     ref = hits.filter(F.col("slot") == ref_slot)
-    pairs = band_pairs(hits.select("run", "slot", "ts_ps"), ref.select("run", "ts_ps"), width)
+    pairs = _met_in_band(hits.select("run", "slot", "ts_ps"), ref.select("run", "ts_ps"), width, "ts_ps", ("run",))
     b = F.floor((F.col("dt") + width) * bins / (2 * width)).cast("int")
-    out = pairs.withColumn("bin", b).filter(F.col("bin") < bins).groupBy("slot", "bin").agg(F.sum("n").alias("n"))
+    out = pairs.withColumn("bin", b).filter(F.col("bin") < bins).groupBy("slot", "bin").agg(F.sum("weight").alias("n"))
     own = ref.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).select("slot", F.lit(bins // 2).alias("bin"), (-F.col("n")).alias("n"))
     return out.unionByName(own).groupBy("slot", "bin").agg(F.sum("n").alias("n")).filter("n > 0")
 

@@ -23,9 +23,11 @@ def channel_spectrum(spec: DataFrame, slot: int | None, lo: int, hi: int, bins:
     return b.join(outside_totals(one, edges[0], edges[-1]), "slot", "left")
 
 
-def compare_channels(spec: DataFrame, slots: list[int], lo: int, hi: int, bins: int) -> DataFrame:
-    """The asked channels side by side, in the order asked; the view shows eight at most."""
-    asked = list(dict.fromkeys(slots))[:COMPARE_CHANNELS]
+def compare_channels(spec: DataFrame, slots: list[int], lo: int, hi: int, bins: int, most: int | None = None) -> DataFrame:
+    """The asked channels side by side, in the order asked; a view that shows COMPARE_CHANNELS says so by ``most``, and more are refused."""
+    asked = list(dict.fromkeys(slots))
+    if most is not None and len(asked) > most:
+        raise ValueError(f"{len(asked)} channels asked, {most} at most")
     place = F.array_position(F.array(*[F.lit(s) for s in asked]), F.col("slot")).cast("int")
     return rebin(spec.filter(F.col("slot").isin(*asked)), q_edges(lo, hi, bins, False)).withColumn("place", place)
 

@@ -120,6 +120,20 @@ def run_history(spark, sf):
     return R.run_history(as_hits(spark, sf), 600_000_000, 6, points=72)
 
 
+@C.query(
+    "history_left_out",
+    f"""WITH {HITS_SQL}, b AS (SELECT run, board, ts_ps // 600000000 AS k, count(*) AS n FROM hits GROUP BY ALL),
+    t AS (SELECT run, k, sum(n) AS n FROM b GROUP BY ALL),
+    g AS (SELECT *, sum(nw) OVER (PARTITION BY run ORDER BY k) AS g FROM (SELECT *, coalesce(CAST(k - lag(k) OVER (PARTITION BY run ORDER BY k) > 6 AS INT), 0) AS nw FROM t)),
+    s AS (SELECT run, g, sum(n) < 0.001 * sum(sum(n)) OVER (PARTITION BY run) AS small FROM g GROUP BY run, g),
+    f AS (SELECT run, g, small AND bool_or(NOT small) OVER (PARTITION BY run) AS far FROM s)
+    SELECT run, board, CAST(sum(CASE WHEN far THEN b.n ELSE 0 END) AS BIGINT) AS left_out FROM b JOIN g USING (run, k) JOIN f ON f.run = g.run AND f.g = g.g GROUP BY run, board""",
+)
+def history_left_out(spark, sf):
+    """The hits that run_history leaves out as far off."""
+    return R.history_left_out(as_hits(spark, sf), 600_000_000, 6)
+
+
 @C.query(
     "mean_rates",
     f"""WITH {HITS_SQL}, s AS (SELECT run, (max(ts_ps) - min(ts_ps)) / 1e6 AS s FROM hits GROUP BY run)
