@@ -131,21 +131,22 @@ def _lists(ids: list[list[int]], width: pa.DataType) -> pa.Array:
 def _coded(docs: DataFrame, path: str, pattern: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     """All columns of other names, ``ids`` and, if asked for, the bytes that they decode to; one worker does both, few rows at a time."""
     kept = [c for c in docs.columns if c not in (ids, decoded)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    names = kept if text in kept else [*kept, text]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
     new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])
-    schema = T.StructType([*rows.schema.fields[:-1], *new])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], *new])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
         for b in parts:
             for at in range(0, b.num_rows, ROWS):
                 part, done = b.slice(at, ROWS), 0
-                for texts in batches(part.column(part.num_columns - 1).to_pylist(), BATCH_BYTES):
+                for texts in batches([t or "" for t in part.column(names.index(text)).to_pylist()], BATCH_BYTES):
                     found = [bpe.encode(t) for t in texts]
                     columns = [_lists(found, pa.int32())]
                     if decoded:
                         columns.append(pa.array(map(bpe.decode, found), pa.binary()))
-                    yield pa.RecordBatch.from_arrays([*part.slice(done, len(texts)).columns[:-1], *columns], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.slice(done, len(texts)).columns[: len(kept)], *columns], names=schema.names)
                     done += len(texts)
 
     return rows.mapInArrow(frugal(run), schema)
