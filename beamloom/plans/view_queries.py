@@ -232,7 +232,7 @@ def _tabs_sql() -> str:
         return f"SELECT '{tab}' AS tab, CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y, CAST(sum(n) AS BIGINT) AS n FROM ({(HIST.sql | JOINS.sql)[name]}) WHERE slot = {TAB_SLOT} GROUP BY ALL"
 
     total = f"""SELECT 'q_total' AS tab, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(unnest([sum(n), coalesce(sum(n) FILTER (qlong = 0), 0), coalesce(sum(n) FILTER (qlong = 65535), 0),
-      coalesce(sum(n) FILTER (qlong > 0 AND qlong < 65535 AND (qlong < 100 OR qlong >= 10000)), 0)]) AS BIGINT) AS n FROM s WHERE slot = {TAB_SLOT}"""
+      coalesce(sum(n) FILTER (qlong > 0 AND qlong < 65535 AND (qlong < 100 OR qlong >= 10000)), 0)]) AS BIGINT) AS n FROM s WHERE slot = {TAB_SLOT} HAVING count(*) > 0"""
     shown = f"SELECT 'q' AS tab, CAST((qlong - 100) // 99 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(sum(n) AS BIGINT) AS n FROM s WHERE slot = {TAB_SLOT} AND qlong >= 100 AND qlong < 10000 GROUP BY ALL"
     edges = B.psd_map_edges()
     seen = [i for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > 100 and a < 10_000]

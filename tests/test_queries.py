@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import check
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"live_bunches", "live_accounting", "incomplete_bunches"}
+SLOW = {"live_bunches", "live_accounting", "live_cleared", "live_reference", "incomplete_bunches"}
 NAMES = sorted(n for n in entry.oracle_sql() if n not in SLOW)
 
 
