@@ -129,7 +129,8 @@ def rf_map(spark, sf):
     known = F.col("phase").isNotNull()
     tof = F.least(F.floor(F.col("phase") * 50), F.lit(49)).cast("int")
     q = F.least(F.expr("cast(cast(qlong as long) * 64 div 65536 as int)"), F.lit(63))
-    return h.groupBy(F.col("board").alias("plane"), tof.alias("tof_bin"), F.when(known, q).alias("q_bin")).agg(F.count(F.lit(1)).alias("n"))
+    # least() leaves nulls out: without a phase there is no bin either
+    return h.groupBy(F.col("board").alias("plane"), F.when(known, tof).alias("tof_bin"), F.when(known, q).alias("q_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @C.query("in_cut", f"WITH {EVENTS_SQL} SELECT ev, pos, cut FROM ({_inside_sql('e', 'e2')})")

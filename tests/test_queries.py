@@ -31,3 +31,18 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_reference_map_of_runs_without_a_phase(spark, folder):
+    """A run with one trigger, or none, has no phases: its hits have no bin, on either axis."""
+    c = duckdb.connect()
+    c.execute(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 700000123) + to_days(CAST(i // 40 * 14 AS INT)) AS ts,
+        CASE WHEN i % 40 = 7 AND i < 80 OR i < 40 AND i % 5 = 0 THEN 5 ELSE 10 + i % 30 END AS user_id, 'view' AS event_type, i * 3.7 AS value, '{{"k": 7}}' AS props
+        FROM range(120) t(i)) TO '{folder}/events.parquet'"""
+    )
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = c.execute(entry.oracle_sql()["rf_map"]).fetchall()
+    assert sum(r[1] is None for r in want) and sum(r[1] is not None for r in want)
+    df = entry.queries()["rf_map"](spark, folder)
+    assert check.rows(df.columns, df.collect()) == check.rows(["plane", "tof_bin", "q_bin", "n"], want)
