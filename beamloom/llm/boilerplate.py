@@ -1,4 +1,4 @@
-"""Main text of pages: declared articles, and for pages that declare none, what their host doesn't repeat.
+"""Main text of pages: what their host doesn't repeat, held against what the pages declare.
 
 The method is a suffix array per host: the token streams of a host's pages (words and block borders) are laid one after the
 other, their suffixes are sorted, and neighbours that share ``DEPTH`` tokens or more are substrings that repeat. What is
@@ -11,8 +11,8 @@ of equal suffixes; classes of all tasks meet by hash in one aggregate, which is
 that stands on a third of all pages is one row per run. A class with two distinct pages is repeated.
 
 That alone can't give right results: a copied article is a repeated substring like any menu, and a host with one page
-repeats nothing. So declarations come first (``markup``): of a page that declares its article (article, main) the text is that
-article, whole, repeated or not; chrome that a page declares is never text. The array decides all other text.
+repeats nothing. So the array judges every block of every page, and an exact check by declarations (``markup``) follows: of a page that
+declares its article (article, main) the text is that article, whole, repeated or not; chrome that a page declares is never text.
 
 Defined cases: null or empty html has an empty text. A null URL is of the host ''. Pages with equal html are one page to the
 array, so copies of a page don't remove its text; pages that differ only a little do lose what they share. A block with at least
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,10 @@ DEPTH = 8
 SPAN = 16
 #: Characters of html whose suffixes are sorted at once.
 RUN_CHARS = 8_000_000
+#: Characters of html that are judged at once.
+JUDGED_CHARS = 1_000_000
+#: Repeated suffixes that are sent to all tasks, at most (8 bytes each).
+BROADCAST_HASHES = 2_000_000
 BORDER = "\n"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,69 +174,73 @@ def repeated(pages: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     return met.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h")
 
 
-def undeclared(pages: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
-    """The pages that declare no article, all columns, with ``suffixes``, the hashes of their kept suffixes in reading order."""
+def with_suffixes(pages: DataFrame) -> DataFrame:
+    """The pages, all columns, with ``suffixes``, the hashes of their kept suffixes in reading order."""
     names = pages.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            wanted, hashes = [], []
-            hosts = b.column(names.index("host")).to_pylist()
-            for i, html in enumerate(b.column(names.index("html"))):
-                found, declared = blocks(html.as_py())
-                if not declared:
-                    r = Run([stream(found)], [hosts[i]])
-                    wanted.append(i)
-                    hashes.append(pa.array(r.hash_of(r.starts)))
-            if wanted:
-                own = b.take(pa.array(wanted))
-                lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(h) for h in hashes]).astype(np.int32), pa.concat_arrays(hashes))
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*names, "suffixes"])
+            hashes = []
+            for host, html in zip(b.column(names.index("host")), b.column(names.index("html"))):
+                r = Run([stream(blocks(html.as_py())[0])], [host.as_py()])
+                hashes.append(r.hash_of(r.starts))
+            lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(h) for h in hashes]).astype(np.int32), pa.array(np.concatenate(hashes or [np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*names, "suffixes"])
 
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("suffixes", T.ArrayType(T.LongType()))]))
 
 
-def unique_text(html: str, host: str, hits: set[int]) -> str:
-    """The blocks of a page outside declared chrome that repeats don't cover."""
-    found, _ = blocks(html)
-    r = Run([stream(found)], [host])
-    again = np.isin(r.hash_of(r.starts), np.array(sorted(hits), np.int64))
-    cover = np.zeros(len(r.code) + 1, np.int64)
-    for k, (start, hit) in enumerate(zip(r.starts, again)):
-        if hit:
-            stop = start + DEPTH
-            # two repeated suffixes with none between them, at most SPAN apart, are one run
-            if k + 1 < len(again) and again[k + 1] and r.starts[k + 1] <= start + DEPTH + SPAN:
-                stop = max(stop, r.starts[k + 1])
-            cover[start] += 1
-            cover[stop] -= 1
-    covered = np.cumsum(cover) > 0
-    kept, at = [], 0
-    for text, region in found:
-        size = text.count(" ") + 1
-        if region != "chrome" and 2 * int(covered[at : at + size].sum()) < size:
-            kept.append(text)
-        at += size + 1
-    return "\n".join(kept)
-
-
-def _texts(pages: DataFrame, text_of, extra: bool) -> DataFrame:
-    """Columns of ``pages`` but host, key, html and hits, and ``text``; pages for which text_of gives none are left out."""
+def unique_blocks(found: list[list[tuple[str, str]]], hosts: list[str], hits: np.ndarray) -> list[list[bool]]:
+    """Of every block of some pages, whether repeats (sorted hashes ``hits``) cover less than half of its tokens."""
+    r = Run([stream(f) for f in found], hosts)
+    h, start = r.hash_of(r.starts), r.starts
+    again = hits[np.minimum(np.searchsorted(hits, h), len(hits) - 1)] == h if len(hits) else np.zeros(len(h), bool)
+    stop = start + DEPTH
+    # two repeated suffixes of a page with none between them, at most SPAN apart, are one run
+    one = again[:-1] & again[1:] & (start[1:] <= start[:-1] + DEPTH + SPAN) & (r.page[start[1:]] == r.page[start[:-1]])
+    stop[:-1] = np.where(one, np.maximum(stop[:-1], start[1:]), stop[:-1])
+    cover = np.bincount(start[again], minlength=len(r.code) + 1) - np.bincount(stop[again], minlength=len(r.code) + 1)
+    covered = np.append(0, np.cumsum(np.cumsum(cover) > 0))
+    out = []
+    for at, blocks_of in zip(r.first, found):
+        out.append([])
+        for text, _ in blocks_of:
+            size = text.count(" ") + 1
+            out[-1].append(2 * int(covered[at + size] - covered[at]) < size)
+            at += size + 1
+    return out
+
+
+def main_texts(htmls: list[str], hosts: list[str], hits: np.ndarray) -> list[str]:
+    """Main text of pages: the blocks outside chrome that the array finds unique, held against what the page declares.
+
+    The check is exact: of a page that declares its article, blocks of the article that the array takes for repeats are put
+    back, and unique ones beside it are taken out.
+    """
+    pages = [blocks(h) for h in htmls]
+    out = []
+    for (found, declared), unique in zip(pages, unique_blocks([f for f, _ in pages], hosts, hits)):
+        out.append("\n".join(t for (t, region), own in zip(found, unique) if (region == "content" if declared else own and region != "chrome")))
+    return out
+
+
+def _judged(pages: DataFrame, known: Broadcast | None) -> DataFrame:
+    """Columns of ``pages`` but host, key, html and hits, and ``text``. Repeats are those known, or each page's own ``hits``."""
     names = pages.columns
     kept = [c for c in names if c not in ("host", "key", "html", "hits")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            hosts, hits = b.column(names.index("host")).to_pylist(), b.column(names.index("hits")) if extra else None
-            rows, texts = [], []
-            for i, html in enumerate(b.column(names.index("html"))):
-                t = text_of(html.as_py(), hosts[i], set(hits[i].as_py() or ()) if extra else set())
-                if t is not None:
-                    rows.append(i)
-                    texts.append(t)
-            if rows:
-                own = b.select(kept).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*kept, "text"])
+            htmls, hosts, texts, at = b.column(names.index("html")).to_pylist(), b.column(names.index("host")).to_pylist(), [], 0
+            while at < len(htmls):
+                size, end = len(htmls[at]), at + 1
+                while end < len(htmls) and size + len(htmls[end]) <= JUDGED_CHARS:
+                    size, end = size + len(htmls[end]), end + 1
+                # a hash names the host too, so the pages' hits can be looked up together
+                hits = known.value if known else np.unique(np.array([h for x in b.column(names.index("hits")).slice(at, end - at).to_pylist() for h in x or ()], np.int64))
+                texts += main_texts(htmls[at:end], hosts[at:end], hits)
+                at = end
+            yield pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return pages.mapInArrow(run, T.StructType([*[f for f in pages.schema.fields if f.name in kept], T.StructField("text", T.StringType())]))
 
@@ -242,18 +251,22 @@ def article_text(html: str, host: str = "", hits: set[int] = frozenset()) -> str
     return "\n".join(t for t, region in found if region == "content") if declared else None
 
 
-def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", run_chars: int = RUN_CHARS) -> DataFrame:
-    """id, url, text of every page.
+def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", run_chars: int = RUN_CHARS, broadcast: int = BROADCAST_HASHES) -> DataFrame:
+    """id, url, text of every page, each judged by the array of its host.
 
-    Pages that declare their article are read once and never shuffled. The others are written with the hashes of their
-    suffixes, which are looked up among the repeated ones of all pages of their hosts.
+    Up to ``broadcast`` repeated suffixes are sent to all tasks, and pages are never shuffled. Beyond that, pages are written with the
+    hashes of their suffixes, which are looked up among the repeated ones.
     """
     body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     host = F.coalesce(host_of(F.col(f"`{url}`")), F.lit(""))
     p = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url"), host.alias("host"), F.xxhash64(body).alias("key"), body.alias("html"))
-    open_pages = cut(undeclared(p), "undeclared")
-    wanted = open_pages.select("host", "key", F.explode("suffixes").alias("h")).distinct()
-    hits = wanted.join(repeated(p, run_chars), "h").groupBy("host", "key").agg(F.collect_list("h").alias("hits"))
-    decided = _texts(open_pages.drop("suffixes").join(hits, ["host", "key"], "left"), unique_text, True)
-    both = _texts(p, article_text, False).unionByName(decided)
-    return both.select(F.col("id").alias(id), F.col("url").alias(url), "text")
+    again = cut(repeated(p, run_chars), "repeated-suffixes")
+    if again.count() <= broadcast:
+        known = pages.sparkSession.sparkContext.broadcast(np.sort(again.toPandas()["h"].to_numpy(np.int64)))
+        decided = _judged(p, known)
+    else:
+        marked = cut(with_suffixes(p), "page-suffixes")
+        wanted = marked.select("host", "key", F.explode("suffixes").alias("h")).distinct()
+        hits = wanted.join(again, "h").groupBy("host", "key").agg(F.collect_list("h").alias("hits"))
+        decided = _judged(marked.drop("suffixes").join(hits, ["host", "key"], "left"), None)
+    return decided.select(F.col("id").alias(id), F.col("url").alias(url), "text")
