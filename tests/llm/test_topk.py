@@ -51,3 +51,38 @@ def test_few_rows(spark, n):
 def test_large_components_are_exact_as_longs(spark):
     rows = [(0, [3e6, 1.0]), (1, [2e6, -7.0]), (2, [2e6, -6.0]), (3, [-4e6, 5.0])]
     assert search(spark, rows) == plain(rows, 5)
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_only_scores_that_reach_the_cutoff_leave_a_pair_of_blocks(spark, monkeypatch, spread):
+    """Of 80,000 pairs, thousands have a partial score that is sent; few reach the cutoff."""
+    for name, value in (("LEAST_BLOCK", 300), ("SPREAD", spread), ("QUERY_BLOCK", 16), ("QUERIES_AT_ONCE", 5), ("PAIRS_AT_ONCE", 50)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    written, cut = {}, topk.cut
+
+    def seen(df, name):
+        written[name] = cut(df, name)
+        written[name].n_rows = written[name].count()
+        return written[name]
+
+    monkeypatch.setattr(topk, "cut", seen)
+    r = random.Random(8)
+    rows = as_float([(i, [r.gauss(0, 0.25) for _ in range(20)]) for i in range(2000)])
+    assert search(spark, rows) == plain(rows, 5)
+    of_pairs = {name: table.n_rows for name, table in written.items() if name not in ("topk-rows", "topk-vectors", "topk-blocks", "topk-cutoffs")}
+    assert of_pairs and max(of_pairs.values()) <= 40 * 40
+
+
+@pytest.mark.parametrize("most", [100, 5000, 10**6, 10**8])
+def test_parts_of_any_size(most):
+    """Slices' parts, as floats, doubles or longs, against all scores."""
+    import numpy as np
+
+    g = np.random.default_rng(most % 97)
+    q, c = g.integers(-most, most, (7, 9)), g.integers(-most, most, (300, 9))
+    all_scores = q @ c.T
+    t = np.sort(all_scores, axis=1)[:, -6].copy()
+    t[3] = topk.NO_CUTOFF
+    x, y, score = topk.reaching(q, c, t)
+    want = np.nonzero(all_scores >= t[:, None])
+    assert [tuple(v) for v in zip(x, y)] == [tuple(v) for v in zip(*want)] and (score == all_scores[want]).all()
