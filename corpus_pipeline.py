@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import bpe, decontaminate, partenum, quality
 from beamloom.llm.queries import bpe_files
-from beamloom.session import scratch_dir
+from beamloom.session import cut, discard
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted, and what it shuffled freed, when the next one has written its own."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = scratch_dir(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(*before)
+        before = [docs]
     return docs

@@ -83,3 +83,12 @@ def test_stages_keep_columns_of_any_name(spark):
     assert corpus_pipeline.keep_good(spark, docs, SF).columns == docs.columns
     left = corpus_pipeline.keep_clean(spark, docs, SF)
     assert left.columns == docs.columns and left.count() == len(rows)
+
+
+def test_the_pipeline_leaves_its_last_table_only(spark):
+    from tests.llm.test_jaccard import folders
+
+    before = folders(spark) if spark.conf.get("spark.checkpoint.dir", None) else []
+    out = corpus_pipeline.run(spark, SF)
+    assert [f.rsplit("-", 1)[0] for f in folders(spark, before) if f.startswith("pipeline-")] == ["pipeline-byte-level-BPE"]
+    assert out.filter("round_trip").count() > 0
